@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.keys import finite, slug
-from trackloom.session import broadcast_if_small, durable, measured
+from trackloom.session import broadcast_if_small, durable, measured, ship_package
 
 _BOX = ("x1", "y1", "x2", "y2")
 
@@ -192,6 +192,7 @@ def box_faults(tracks: DataFrame, cameras: DataFrame, rules: SpikeRules = SpikeR
     one frame are one box (the lowest id's) and all of them are reported. An empty table gives no rows.
     """
     r = rules
+    ship_package(tracks.sparkSession)
     frames, few = measured(
         cameras.where("camera_id IS NOT NULL")
         .groupBy(slug(F.col("camera_id")).alias("of_camera"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +45,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable for the Python workers of every executor, once per application (``addPyFile``)."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    # Spark serves the archive from the driver; nothing reads this folder on another machine.
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='trackloom-')}/{root.name}", "zip", root.parent, root.name)
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def row_bytes(df: DataFrame):
     """A rough upper estimate of a row's size: texts by length, arrays by their JSON, anything else as 16 bytes."""
     total = F.lit(0).cast("bigint")
