@@ -170,7 +170,7 @@ def robust_scores(statistics: DataFrame, sketches: DataFrame) -> DataFrame:
     the 16 % and 84 % quantiles, halved), limited to +-8. Texts of no known language are held against the merged sketches of all
     languages. Sketches have a row per language of a fixed list, so they are broadcast."""
     quantile = lambda s, q: F.kll_sketch_get_quantile_double(F.col(s), F.lit(q))
-    every = sketches.agg(F.lit("other").alias("language"), F.sum("n_docs").alias("n_docs"), *[F.kll_merge_agg_double(s).alias(s) for s in STATISTICS])
+    every = sketches.groupBy(F.lit("other").alias("language")).agg(F.sum("n_docs").alias("n_docs"), *[F.kll_merge_agg_double(s).alias(s) for s in STATISTICS])
     scales = sketches.where("language <> 'other'").unionByName(every).select(
         F.col("language").alias("of_language"),
         *[quantile(s, 0.5).alias(f"{s}_mid") for s in STATISTICS],
