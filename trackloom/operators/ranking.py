@@ -40,3 +40,19 @@ def blocked_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], block
         on = on & local[k].eqNullSafe(offsets[f"__k{i}"])
     joined = local.join(offsets, on)
     return joined.select(*df.columns, (F.col("__n_before") + F.col("__in")).alias(name))
+
+
+def at_index(df: DataFrame, keys: Sequence[str], value: str, block: Column, picks: dict) -> DataFrame:
+    """Exact order statistics: one row per group with the values at positions of its sorted ``value`` (0 is the lowest).
+
+    ``picks`` maps a name to a function from the group's size to a position. Ranks come from blocks of values, so a group is
+    never sorted as a whole. ``block`` must not decrease with ``value``. Null values do not count.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    ranked = blocked_rank(rows, keys, [value], block, "__r")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).select(*[F.col(k).alias(f"__s{i}") for i, k in enumerate(keys)], "__n")
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__s{i}"))
+    both = ranked.join(sizes, on)
+    return both.groupBy(*keys).agg(*[F.max(F.when(F.col("__r") - 1 == pick(F.col("__n")), F.col(value))).alias(name) for name, pick in picks.items()])
