@@ -183,3 +183,49 @@ def cross_camera_primary(scores: DataFrame) -> DataFrame:
     led = pairs.withColumns({"r": F.row_number().over(best), "second": F.lead("score").over(best)})
     sure = (F.col("score") >= 0.75) | (F.col("score") - F.coalesce("second", F.lit(-1.0)) >= 0.02)
     return led.where((F.col("r") == 1) & (F.col("score") >= 0.67) & (F.col("sim_topk") >= 0.62) & (F.col("sim_mean") >= 0.60) & sure).select("cam1_gid", "cam2_gid", "score")
+
+
+def cross_camera_cascade(scores: DataFrame) -> DataFrame:
+    """Identities of the second camera assigned to those of the first in stages: cam2_gid, cam1_gid, match_type, score.
+
+    ``primary`` and ``unclaimed`` use each side once; ``fragment_reuse`` and ``fallback_reuse`` may give an identity again. What no
+    stage takes is ``new``.
+    """
+    from trackloom.operators.matching import greedy_match
+    from trackloom.session import durable
+
+    valid = scores.where("score BETWEEN 0 AND 1 AND NOT isnan(score)")
+    one = Window.partitionBy("cam1_gid", "cam2_gid").orderBy(F.desc("score"), F.desc("sim_topk"), F.desc("sim_mean"))
+    pairs = valid.withColumn("r", F.row_number().over(one)).where("r = 1").select("cam1_gid", "cam2_gid", "score", "sim_topk", "sim_mean")
+    best = Window.partitionBy("cam2_gid").orderBy(F.desc("score"), "cam1_gid")
+    lead = F.col("score") - F.coalesce("second", F.lit(-1.0))
+    rest = durable(pairs.withColumn("second", F.lead("score").over(best)).where((F.col("score") >= 0.63) & (F.col("sim_topk") >= 0.59) & (F.col("sim_mean") >= 0.60)))
+
+    def open_pairs(least: float, topk: float, mean: float, margin: float, sure: float) -> DataFrame:
+        passing = (F.col("score") >= least) & (F.col("sim_topk") >= topk) & (F.col("sim_mean") >= mean)
+        return rest.where(passing & ((lead >= margin) | (F.col("score") >= sure)))
+
+    done = greedy_match(cross_camera_primary(scores), ["cam1_gid"], ["cam2_gid"], "score").select("cam2_gid", "cam1_gid", F.lit("primary").alias("match_type"), "score")
+    rest = rest.join(done.select("cam2_gid"), "cam2_gid", "left_anti")
+    unclaimed = open_pairs(0.66, 0.61, 0.60, 0.02, 0.75).join(done.select("cam1_gid"), "cam1_gid", "left_anti").select("cam1_gid", "cam2_gid", "score")
+    second = greedy_match(unclaimed, ["cam1_gid"], ["cam2_gid"], "score").select("cam2_gid", "cam1_gid", F.lit("unclaimed").alias("match_type"), "score")
+    done = done.unionByName(second)
+    rest = rest.join(second.select("cam2_gid"), "cam2_gid", "left_anti")
+    stages = F.when((F.col("score") >= 0.67) & (F.col("sim_topk") >= 0.63) & (F.col("sim_mean") >= 0.63), "fragment_reuse").when((lead >= 0.01) | (F.col("score") >= 0.74), "fallback_reuse")
+    top = rest.withColumn("r", F.row_number().over(best)).where("r = 1").withColumn("match_type", stages).where("match_type IS NOT NULL")
+    done = done.unionByName(top.select("cam2_gid", "cam1_gid", "match_type", "score"))
+    new = valid.select("cam2_gid").distinct().join(done.select("cam2_gid"), "cam2_gid", "left_anti")
+    return done.unionByName(new.select("cam2_gid", F.lit(None).cast("bigint").alias("cam1_gid"), F.lit("new").alias("match_type"), F.lit(None).cast("double").alias("score")))
+
+
+def ambiguity(tracklets: DataFrame) -> DataFrame:
+    """Why a stretch has or has not a clear predecessor: candidates, those that pass, the gates that stop others, lead and verdict."""
+    scored = reentry_scores(reentry_candidates(tracklets))
+    stopped = lambda r: F.count_if(F.col("reason") == r)
+    counts = scored.groupBy("clip_id", F.col("c_tracklet_id").alias("tracklet_id")).agg(
+        F.count(F.lit(1)).alias("n_candidates"), F.count_if(F.col("reason").isNull()).alias("n_passing"), stopped("entry_exit_side_incompatible").alias("n_side"), stopped("size_ratio_implausible").alias("n_size")
+    )
+    leads = reranked(scored).where("rank = 1").select("clip_id", F.col("c_tracklet_id").alias("tracklet_id"), "margin")
+    joined = tracklets.select("clip_id", "tracklet_id").join(counts, ["clip_id", "tracklet_id"], "left").join(leads, ["clip_id", "tracklet_id"], "left")
+    verdict = F.when(F.col("n_candidates").isNull(), "no_candidate").when(F.col("n_passing") == 0, "all_gated").when(F.col("margin") < 0.045, "ambiguous").otherwise("clear")
+    return joined.withColumns({"verdict": verdict, "margin": F.round("margin", 6)}).fillna(0, ["n_candidates", "n_passing", "n_side", "n_size"])

@@ -162,3 +162,15 @@ def crowd_windows(rows: DataFrame, least_boxes: int = 4, least_overlap: float =
     ranked = blocked.join(sizes.select(*parts, "m_before"), parts).withColumn("island", F.col("frame_idx") - F.col("k") - F.col("m_before"))
     return ranked.groupBy("clip_id", "island").agg(F.min("frame_idx").alias("start_frame"), F.max("frame_idx").alias("end_frame"), F.round(F.sum(F.col("n") * F.col("v")), 4).alias("pressure")).drop("island")
 
+
+
+def clean_boxes(rows: DataFrame, k: int) -> DataFrame:
+    """The ``k`` boxes of each identity that others cover least, the larger ones first: row_idx, clip_id, global_id."""
+    base = rows.where("global_id > 0").join(largest_overlap(rows), "row_idx")
+    order = [F.col("overlap"), F.desc("size"), F.col("row_idx")]
+    sized = base.select("row_idx", "clip_id", "global_id", "overlap", area(box()).alias("size"), F.pmod(F.xxhash64("row_idx"), F.lit(16)).alias("salt"))
+    # A large identity is ranked in parts first.
+    part = Window.partitionBy("clip_id", "global_id", "salt").orderBy(*order)
+    few = sized.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k)
+    whole = Window.partitionBy("clip_id", "global_id").orderBy(*order)
+    return few.withColumn("r", F.row_number().over(whole)).where(F.col("r") <= k).select("row_idx", "clip_id", "global_id")
