@@ -14,6 +14,7 @@ from trackloom.operators.islands import with_previous
 from trackloom.operators.linking import majority
 from trackloom.operators.matching import greedy_match, optimal_match
 from trackloom.operators.pairs import best_match
+from trackloom.session import durable
 
 _BOX = ("x1", "y1", "x2", "y2")
 _FRAME = ["clip_id", "frame_idx"]
@@ -110,11 +111,12 @@ def frame_matches(truth: DataFrame, rows: DataFrame, least: float = 0.5, optimal
 def mot_metrics(truth: DataFrame, rows: DataFrame, least: float = 0.5) -> DataFrame:
     """Per clip: truth and predicted boxes, matches, misses, false alarms, switches of identity, MOTA, precision, recall, mean IoU, and
     truth tracks found in at least 80 % or at most 20 % of their frames."""
-    matched = (
+    named = (
         frame_matches(truth, rows, least)
         .join(truth.select(F.col("ask_id").alias("left"), "person_id"), "left")
         .join(rows.select(F.col("row_idx").alias("right"), "global_id"), "right")
     )
+    matched = durable(named)
     steps = with_previous(matched, ["clip_id", "person_id"], ["frame_idx", "left"], F.floor(F.col("frame_idx") / hygiene.BLOCK), ["global_id"])
     switches = steps.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n_matched"), F.round(F.avg("score"), 6).alias("mean_iou"), F.count_if(F.col("prev").isNotNull() & (F.col("prev.global_id") != F.col("global_id"))).alias("n_switches"))
     found = truth.groupBy("clip_id", "person_id").agg(F.count(F.lit(1)).alias("n")).join(matched.groupBy("clip_id", "person_id").agg(F.count(F.lit(1)).alias("m")), ["clip_id", "person_id"], "left")

@@ -39,16 +39,24 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], bloc
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, carried: Sequence[str], cut: Callable[[Column], Column], name: str = "island") -> DataFrame:
     """Numbers the islands of each group from 1: an island starts at a group's first row and where ``cut(prev)`` is true.
 
-    ``prev`` is the struct of ``carried`` columns of the row before. Numbers come from counts within blocks and the counts of the
-    blocks before, so no task holds a whole group.
+    ``prev`` is the struct of ``carried`` columns of the row before; ``cut`` may use these and the same columns of the row. Rows are
+    counted within blocks. One row per block tells its first and last row and its cuts; a window over these rows decides whether
+    a block's first row is a cut and how many islands lie before, so no task holds a whole group.
     """
     parts = [*keys, "__block"]
-    flagged = with_previous(df, keys, order, block, carried, "__prev").withColumn(
-        "__cut", F.when(F.col("__prev").isNull(), 1).otherwise(F.coalesce(cut(F.col("__prev")).cast("int"), F.lit(0)))
+    row, at = F.struct(*carried), F.struct(*order)
+    within = Window.partitionBy(*parts).orderBy(*order)
+    placed = df.withColumn("__block", block).repartition(*[F.col(p) for p in parts])
+    local = placed.withColumn("__prev", F.lag(row).over(within)).withColumn("__cut", F.coalesce((F.col("__prev").isNotNull() & cut(F.col("__prev"))).cast("int"), F.lit(0)))
+    counted = local.withColumn("__in", F.sum("__cut").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = local.groupBy(*parts).agg(F.sum("__cut").alias("__cuts"), F.min_by(row, at).alias("__first"), F.max_by(row, at).alias("__last"))
+    linked = blocks.withColumn("__prev", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__block"))).select(
+        *parts, "__cuts", "__prev", *[F.col(f"__first.{c}").alias(c) for c in carried if c not in parts]
     )
-    counted = flagged.withColumn("__in", F.sum("__cut").over(Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    sizes = block_offsets(flagged.groupBy(*parts).agg(F.sum("__cut").alias("__n")), keys, "__block", ["__n"])
-    return _beside(counted, sizes, parts, ["__n_before"]).withColumn(name, F.col("__in") + F.col("__n_before")).drop("__in", "__n_before", "__cut", "__prev", "__block")
+    opens = F.when(F.col("__prev").isNull(), 1).otherwise(F.coalesce(cut(F.col("__prev")).cast("int"), F.lit(0)))
+    sized = linked.withColumn("__opens", opens).withColumn("__n", F.col("__opens") + F.col("__cuts"))
+    offsets = block_offsets(sized, keys, "__block", ["__n"])
+    return _beside(counted, offsets, parts, ["__opens", "__n_before"]).withColumn(name, F.col("__in") + F.col("__opens") + F.col("__n_before")).drop("__in", "__opens", "__n_before", "__cut", "__prev", "__block")
 
 
 def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[tuple], object], schema: str) -> DataFrame:

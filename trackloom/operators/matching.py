@@ -95,7 +95,7 @@ def optimal_match(edges: DataFrame, least: float) -> DataFrame:
     An edge that is alone at both of its ends is in every best assignment; only frames with others are solved in Python.
     """
     frame = ["clip_id", "frame_idx"]
-    positive = edges.where("score > 0").select(*frame, "left", "right", "score")
+    positive = durable(edges.where("score > 0").select(*frame, "left", "right", "score"))
     counted = positive.withColumns(
         {"nl": F.count(F.lit(1)).over(Window.partitionBy(*frame, "left")), "nr": F.count(F.lit(1)).over(Window.partitionBy(*frame, "right"))}
     )

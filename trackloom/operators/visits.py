@@ -34,7 +34,8 @@ def capped_visits(rows: DataFrame, gap_ms: int = 1000, cap_ms: int = 200, least_
     numbered = islands(inside, keys, ["ms", "row_idx"], block, ["ms"], lambda prev: F.col("ms") - prev["ms"] > gap_ms)
     # Pauses within a session: its rows are few enough for a window of its own key.
     within = Window.partitionBy(*keys, "island").orderBy("ms", "row_idx")
-    paused = numbered.withColumn("pause", F.least(F.col("ms") - F.lag("ms").over(within), F.lit(cap_ms)))
+    before = F.lag("ms").over(within)
+    paused = numbered.withColumn("pause", F.when(before.isNotNull(), F.least(F.col("ms") - before, F.lit(cap_ms))))
     return (
         paused.groupBy(*keys, F.col("island").alias("visit"))
         .agg(F.min("ms").alias("enter_ms"), F.max("ms").alias("exit_ms"), F.coalesce(F.sum("pause"), F.lit(0)).alias("dwell_ms"), F.count(F.lit(1)).alias("n_rows"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import anchor_point, box, in_polygon
@@ -18,10 +18,11 @@ def zone_lists(zones: DataFrame) -> DataFrame:
     """
     micros = lambda c, default: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(default))
     far = (1 << 63) - 1
-    entry = F.struct(
-        "zone_key", micros("added_at", -far).alias("since"), micros("removed_at", far).alias("until"), F.from_json("polygon", _POLYGON).alias("polygon")
-    )
-    lists = zones.where("camera IS NOT NULL").groupBy(F.col("camera").alias("z_camera")).agg(F.array_sort(F.collect_list(entry)).alias("zones"))
+    shapes = zones.where("camera IS NOT NULL").withColumn("polygon", F.from_json("polygon", _POLYGON))
+    xs, ys = F.transform("polygon", lambda p: p[0]), F.transform("polygon", lambda p: p[1])
+    reach = F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)).alias("reach")
+    entry = F.struct("zone_key", micros("added_at", -far).alias("since"), micros("removed_at", far).alias("until"), reach, "polygon")
+    lists = shapes.groupBy(F.col("camera").alias("z_camera")).agg(F.array_sort(F.collect_list(entry)).alias("zones"))
     return broadcast_if_small(lists)
 
 
@@ -33,7 +34,12 @@ def assign_zone(rows: DataFrame, zones: DataFrame, point: str = "ankle") -> Data
     x, y = anchor_point(box(), point)
     at = F.unix_micros(F.col("captured_at").cast("timestamp"))
     joined = rows.join(zone_lists(zones), F.col("camera") == F.col("z_camera"), "left")
-    hit = lambda z: (z["since"] <= at) & (at < z["until"]) & in_polygon(x, y, z["polygon"])
+
+    def hit(z: Column) -> Column:
+        r, slack = z["reach"], 1e-6
+        near = (x >= r[0] - slack) & (x <= r[2] + slack) & (y >= r[1] - slack) & (y <= r[3] + slack)
+        return near & (z["since"] <= at) & (at < z["until"]) & in_polygon(x, y, z["polygon"])
+
     return joined.withColumn("found_zone", F.get(F.filter("zones", hit), F.lit(0))["zone_key"]).drop("z_camera", "zones")
 
 

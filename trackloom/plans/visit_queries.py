@@ -157,7 +157,8 @@ QUERIES = {f.__name__: f for f in (
 _PARTS = """
 a AS (SELECT *, CASE WHEN ms - lag(ms) OVER w > 1000 THEN 1 ELSE 0 END AS cut FROM tk WHERE zone_key IS NOT NULL AND ms IS NOT NULL WINDOW w AS (PARTITION BY clip_id, global_id, zone_key ORDER BY ms, row_idx)),
 b AS (SELECT *, 1 + sum(cut) OVER (PARTITION BY clip_id, global_id, zone_key ORDER BY ms, row_idx ROWS UNBOUNDED PRECEDING) AS visit FROM a),
-c AS (SELECT *, least(ms - lag(ms) OVER (PARTITION BY clip_id, global_id, zone_key, visit ORDER BY ms, row_idx), 200) AS pause FROM b)
+c0 AS (SELECT *, ms - lag(ms) OVER (PARTITION BY clip_id, global_id, zone_key, visit ORDER BY ms, row_idx) AS gap FROM b),
+c AS (SELECT *, CASE WHEN gap > 200 THEN 200 ELSE gap END AS pause FROM c0)
 """
 _RUNS = """
 a AS (SELECT *, CASE WHEN zone_key IS NOT DISTINCT FROM lag(zone_key) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS cut FROM tk WHERE ms IS NOT NULL AND global_id > 0 WINDOW w AS (PARTITION BY clip_id, global_id ORDER BY ms, row_idx)),
