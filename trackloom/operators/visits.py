@@ -105,44 +105,24 @@ def held_visits(rows: DataFrame, hold_ms: int = 500) -> DataFrame:
     return fold_sorted(zone_runs(rows).select(*_PERSON, "run", "zone_key", "first_ms", "last_ms", "n_rows"), _PERSON, ["run"], lambda key: _Held(key, hold_ms), schema)
 
 
-class _Online:
-    """The online rule: the first zone holds at once; a change counts from the row at which it has been held long enough."""
-
-    def __init__(self, key: tuple, hold: int) -> None:
-        self.key, self.hold = key, hold
-        self.zone, self.since, self.seen = None, None, False
-        self.candidate = None
-
-    def step(self, row):
-        zone = None if row.zone_key is None or row.zone_key != row.zone_key else row.zone_key
-        at = int(row.ms)
-        if not self.seen:
-            self.seen, self.zone, self.since = True, zone, at
-            return
-        if zone == self.zone:
-            self.candidate = None
-            return
-        if self.candidate is None or self.candidate[0] != zone:
-            self.candidate = (zone, at)
-            return
-        if at - self.candidate[1] >= self.hold:
-            if self.zone is not None:
-                yield (*self.key, self.zone, self.since, at, False)
-            self.zone, self.since, self.candidate = zone, at, None
-
-    def end(self):
-        if self.zone is not None:
-            yield (*self.key, self.zone, self.since, None, True)
-
-
 def online_visits(rows: DataFrame, hold_ms: int = 1000) -> DataFrame:
-    """Visits as an online engine reports them: a change commits when its candidate has held ``hold_ms``, at that row's time.
+    """Visits as an online engine reports them: a person's first zone holds at once; a change commits when its candidate has held for
+    ``hold_ms``, at that row's time. Visits open at the end close at the last time of all persons of the clip.
 
-    Visits open at the end close at the last time of all persons of the clip.
+    A candidate is always one run of a zone, so a change can only commit within its run, at the first row late enough. Runs that
+    could commit, and the first one, are collapsed where successive ones name the same zone; that leaves the visits.
     """
-    schema = "clip_id string, global_id bigint, zone_key string, enter_ms bigint, exit_ms bigint, is_open boolean"
-    timed = rows.where("ms IS NOT NULL").select(*_PERSON, "ms", "row_idx", "zone_key")
-    found = fold_sorted(timed, _PERSON, ["ms", "row_idx"], lambda key: _Online(key, hold_ms), schema)
+    timed = rows.where("ms IS NOT NULL")
+    numbered = islands(timed, _PERSON, ["ms", "row_idx"], F.floor(F.col("ms") / BLOCK_MS), ["zone_key"], lambda prev: ~prev["zone_key"].eqNullSafe(F.col("zone_key")))
+    first = numbered.groupBy(*_PERSON, "island").agg(F.min("ms").alias("first_ms"), F.first("zone_key").alias("zone"))
+    started = first.select(*[F.col(c).alias(f"f_{c}") for c in [*_PERSON, "island"]], "first_ms", "zone")
+    on = F.col("clip_id").eqNullSafe(F.col("f_clip_id")) & F.col("global_id").eqNullSafe(F.col("f_global_id")) & (F.col("island") == F.col("f_island"))
+    late = F.min(F.when((F.col("ms") - F.col("first_ms") >= hold_ms) & (F.col("ms") > F.col("first_ms")), F.col("ms")))
+    runs = numbered.join(started, on).groupBy(*_PERSON, "island").agg(F.first("zone").alias("zone_key"), F.first("first_ms").alias("first_ms"), late.alias("commit_ms"))
+    held = runs.withColumn("since", F.when(F.col("island") == 1, F.col("first_ms")).otherwise(F.col("commit_ms"))).where("since IS NOT NULL")
+    person = Window.partitionBy(*_PERSON).orderBy("island")
+    changes = held.withColumn("before", F.lag(F.struct("zone_key")).over(person)).where(F.col("before").isNull() | ~F.col("before.zone_key").eqNullSafe(F.col("zone_key")))
     last = timed.groupBy(F.col("clip_id").alias("l_clip")).agg(F.max("ms").alias("clip_end"))
-    closed = found.join(last, F.col("clip_id").eqNullSafe(F.col("l_clip")))
-    return closed.select(*_PERSON, "zone_key", "enter_ms", F.coalesce("exit_ms", "clip_end").alias("exit_ms")).where("exit_ms > enter_ms")
+    closed = changes.withColumn("left_ms", F.lead("since").over(person)).join(last, F.col("clip_id").eqNullSafe(F.col("l_clip")))
+    visits = closed.where("zone_key IS NOT NULL").select(*_PERSON, "zone_key", F.col("since").alias("enter_ms"), F.coalesce("left_ms", "clip_end").alias("exit_ms"))
+    return visits.where("exit_ms > enter_ms")

@@ -23,10 +23,10 @@ zn AS (SELECT {_SLUG.format('camera_id')} AS camera, {_ZK} AS zone_key, zone_nam
 """
 
 
-def with_cte(body: str) -> str:
+def with_cte(body: str, recursive: bool = False) -> str:
     """SQL that may use the shared CTEs. ``body`` is more CTEs and a select, or a select alone."""
     body = body.strip()
-    return f"WITH {CTE.strip()}{' ' if body.upper().startswith('SELECT') else ', '}{body}"
+    return f"WITH {'RECURSIVE ' * recursive}{CTE.strip()}{' ' if body.upper().startswith('SELECT') else ', '}{body}"
 
 
 def tracks_view(t: Tables) -> DataFrame:

@@ -43,7 +43,9 @@ def audit_greedy_match(spark, d):
 
 def mot_match(spark, d):
     fr = _fr(spark, d)
-    return evaluate.frame_matches(_truth(fr), _predicted(fr)).select("left", "right", F.round("score", 6).alias("iou"))
+    # Boxes delivered twice can swap their partners, so frames are compared, not pairs.
+    matches = evaluate.frame_matches(_truth(fr), _predicted(fr))
+    return matches.groupBy("clip_id", "frame_idx").agg(F.count(F.lit(1)).alias("n_matched"), F.round(F.sum("score"), 6).alias("sum_iou"))
 
 
 def mot_metrics(spark, d):
@@ -155,7 +157,25 @@ ct AS (SELECT clip_id, person_id, global_id, count(*) AS n FROM jm WHERE global_
 """
 _DOMINANT = "dp AS (SELECT * FROM (SELECT clip_id, global_id, person_id, n, sum(n) OVER (PARTITION BY clip_id, global_id) AS t, row_number() OVER (PARTITION BY clip_id, global_id ORDER BY n DESC, person_id) AS r FROM ct) WHERE r = 1)"
 
+_MOT = f"""tr AS (SELECT row_idx AS ask_id, clip_id, frame_idx, global_id AS person_id, x1, y1, x2, y2 FROM fr WHERE global_id > 0),
+pr AS (SELECT row_idx, clip_id, frame_idx, CAST(global_id * 1000 + floor(frame_idx / 700) AS BIGINT) AS global_id, x1 + (1 - coalesce(conf, 0.5::DOUBLE)) * (x2 - x1) AS x1, y1, x2 + (1 - coalesce(conf, 0.5::DOUBLE)) * (x2 - x1) AS x2, y2 FROM fr WHERE global_id > 0),
+me AS MATERIALIZED (SELECT a.clip_id, a.frame_idx, ask_id AS l, row_idx AS r, {_IOU.replace('1e-6', '1e-9')} AS s FROM tr a JOIN pr b ON a.clip_id = b.clip_id AND a.frame_idx = b.frame_idx WHERE {_IOU.replace('1e-6', '1e-9')} > 0),
+ml AS MATERIALIZED (SELECT clip_id, frame_idx, l, row_number() OVER (PARTITION BY clip_id, frame_idx ORDER BY l) AS i FROM (SELECT DISTINCT clip_id, frame_idx, l FROM me)), mn AS MATERIALIZED (SELECT clip_id, frame_idx, max(i) AS n FROM ml GROUP BY ALL),
+-- Every assignment of a frame's truth boxes, one box after the other; the best sum wins.
+ms AS (SELECT clip_id, frame_idx, CAST(0 AS BIGINT) AS i, []::BIGINT[] AS used, []::STRUCT(l BIGINT, r BIGINT, s DOUBLE)[] AS pairs, 0::DOUBLE AS total FROM mn UNION ALL
+  SELECT * FROM (SELECT ms.clip_id, ms.frame_idx, ms.i + 1, CASE WHEN o.r IS NULL THEN used ELSE list_append(used, o.r) END, CASE WHEN o.r IS NULL THEN pairs ELSE list_append(pairs, struct_pack(l := ml.l, r := o.r, s := o.s)) END, total + coalesce(o.s, 0)
+    FROM ms JOIN ml ON ml.clip_id = ms.clip_id AND ml.frame_idx = ms.frame_idx AND ml.i = ms.i + 1 JOIN (SELECT clip_id, frame_idx, l, r, s FROM me UNION ALL SELECT clip_id, frame_idx, l, NULL, NULL FROM ml) o ON o.clip_id = ml.clip_id AND o.frame_idx = ml.frame_idx AND o.l = ml.l WHERE o.r IS NULL OR NOT list_contains(used, o.r))),
+mb AS (SELECT * FROM (SELECT ms.*, row_number() OVER (PARTITION BY ms.clip_id, ms.frame_idx ORDER BY total DESC) AS k FROM ms JOIN mn ON mn.clip_id = ms.clip_id AND mn.frame_idx = ms.frame_idx AND mn.n = ms.i) WHERE k = 1),
+mm AS (SELECT clip_id, frame_idx, p.l AS l, p.r AS r, p.s AS s FROM (SELECT clip_id, frame_idx, unnest(pairs) AS p FROM mb) WHERE p.s >= 0.5)
+"""
+
 SQL = {
+    "mot_match": with_cte(_MOT + "SELECT clip_id, frame_idx, count(*) AS n_matched, round(sum(s), 6) AS sum_iou FROM mm GROUP BY ALL", recursive=True),
+    "mot_metrics": with_cte(_MOT + """, na AS (SELECT mm.clip_id, mm.frame_idx, s, person_id, global_id, lag(global_id) OVER (PARTITION BY mm.clip_id, person_id ORDER BY mm.frame_idx, l) AS p FROM mm JOIN tr ON tr.ask_id = l JOIN pr ON pr.row_idx = r),
+        sw AS (SELECT clip_id, count(*) AS n_matched, round(avg(s), 6) AS mean_iou, count(*) FILTER (p IS NOT NULL AND p <> global_id) AS n_switches FROM na GROUP BY clip_id), fo AS (SELECT clip_id, person_id, count(*) AS n FROM tr GROUP BY ALL), fm AS (SELECT clip_id, person_id, count(*) AS m FROM na GROUP BY ALL),
+        tt AS (SELECT fo.clip_id, CAST(sum(n) AS BIGINT) AS n_truth, count(*) FILTER (coalesce(m, 0) / n >= 0.8) AS mostly_tracked, count(*) FILTER (coalesce(m, 0) / n <= 0.2) AS mostly_lost FROM fo LEFT JOIN fm ON fm.clip_id = fo.clip_id AND fm.person_id = fo.person_id GROUP BY fo.clip_id), pn AS (SELECT clip_id, count(*) AS n_predicted FROM pr GROUP BY clip_id),
+        j AS (SELECT tt.*, coalesce(n_predicted, 0) AS n_predicted, coalesce(n_matched, 0) AS n_matched, mean_iou, coalesce(n_switches, 0) AS n_switches FROM tt LEFT JOIN pn ON pn.clip_id = tt.clip_id LEFT JOIN sw ON sw.clip_id = tt.clip_id)
+        SELECT *, n_truth - n_matched AS misses, n_predicted - n_matched AS false_alarms, round(1 - (n_truth - n_matched + n_predicted - n_matched + n_switches) / n_truth, 6) AS mota, round(n_matched / n_predicted, 6) AS precision, round(n_matched / n_truth, 6) AS recall FROM j""", recursive=True),
     "audit_best_match": with_cte(_JUDGED + "SELECT ask_id, row_idx, global_id, round(v, 6) AS iou FROM bm"),
     "audit_purity": with_cte(_JUDGED + """, p AS (SELECT clip_id, round(avg(top), 6) AS person_purity, count(*) FILTER (k > 1) AS mixed_persons FROM (SELECT clip_id, person_id, max(n) / sum(n) AS top, count(*) AS k FROM ct GROUP BY ALL) GROUP BY clip_id),
         i AS (SELECT clip_id, round(avg(top), 6) AS id_purity, count(*) FILTER (k > 1) AS mixed_ids FROM (SELECT clip_id, global_id, max(n) / sum(n) AS top, count(*) AS k FROM ct GROUP BY ALL) GROUP BY clip_id),

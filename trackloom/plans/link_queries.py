@@ -148,7 +148,7 @@ def color_sim(spark, d):
 
 
 def gallery_ema(spark, d):
-    return embeddings.gallery(Tables(spark, d).embeddings)
+    return embeddings.gallery(Tables(spark, d).embeddings).withColumn("similarity", F.round("similarity", 6))
 
 
 def id_bank(spark, d):
@@ -207,6 +207,16 @@ SQL = {
     "top2_margin": f"WITH {_BEST}, r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM b WINDOW w AS (PARTITION BY cam1_gid ORDER BY score DESC, cam2_gid)) SELECT cam1_gid, cam2_gid, round(score, 6) AS best, round(score - coalesce(second, -1), 6) AS margin FROM r WHERE r = 1",
     "cross_cam_pairs": """WITH o AS (SELECT *, row_number() OVER (PARTITION BY cam1_gid, cam2_gid ORDER BY score DESC, sim_topk DESC NULLS LAST, sim_mean DESC NULLS LAST) AS r FROM cross_camera_pair_scores WHERE score BETWEEN 0 AND 1 AND NOT isnan(score)), p AS (SELECT * EXCLUDE (r) FROM o WHERE r = 1),
         l AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM p WINDOW w AS (PARTITION BY cam1_gid ORDER BY score DESC, cam2_gid)) SELECT cam1_gid, cam2_gid, round(score, 6) AS score FROM l WHERE r = 1 AND score >= 0.67 AND sim_topk >= 0.62 AND sim_mean >= 0.60 AND (score >= 0.75 OR score - coalesce(second, -1) >= 0.02::DOUBLE)""",
+    "cross_cam_assign": None,
+    "gallery_ema": f"""WITH RECURSIVE {_VEC}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM u),
+        g AS (SELECT label, vec_id, k, v AS c, NULL::DOUBLE AS s FROM o WHERE k = 1 UNION ALL
+          SELECT label, vec_id, k, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))), s FROM (SELECT o.label, o.vec_id, o.k, list_dot_product(g.c, o.v) AS s, list_transform(range(1, 65), lambda i: 0.9::DOUBLE * g.c[i] + 0.1::DOUBLE * o.v[i]) AS m FROM g JOIN o ON o.label = g.label AND o.k = g.k + 1))
+        SELECT label, vec_id, k AS n, round(s, 6) AS similarity FROM g""",
+    "drift_split": f"""WITH RECURSIVE {_VEC}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM u),
+        g AS (SELECT label, vec_id, k, v AS c, CAST(1 AS BIGINT) AS n, CAST(1 AS BIGINT) AS segment FROM o WHERE k = 1 UNION ALL
+          SELECT label, vec_id, k, CASE WHEN cut THEN v ELSE list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) END, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN segment + 1 ELSE segment END
+          FROM (SELECT o.label, o.vec_id, o.k, o.v, g.n, g.segment, g.n >= 8 AND list_dot_product(g.c, o.v) < 0 AS cut, list_transform(range(1, 65), lambda i: 0.78::DOUBLE * g.c[i] + 0.22::DOUBLE * o.v[i]) AS m FROM g JOIN o ON o.label = g.label AND o.k = g.k + 1))
+        SELECT label, vec_id, segment FROM g""",
     "pair_score": """WITH s AS (SELECT cam1_gid, 0.52::DOUBLE * sim_topk + 0.32::DOUBLE * sim_mean + 0.10::DOUBLE * greatest(sim_edge, 0) + 0.06::DOUBLE * shape AS z FROM cross_camera_pair_scores WHERE sim_topk IS NOT NULL AND sim_mean IS NOT NULL AND sim_edge IS NOT NULL AND shape IS NOT NULL)
         SELECT cam1_gid, count(*) AS n_pairs, round(max(z), 6) AS best, round(min(z), 6) AS worst FROM s GROUP BY cam1_gid""",
     "match_type_hist": "SELECT CASE WHEN score IS NULL OR isnan(score) OR NOT score BETWEEN 0 AND 1 THEN 'invalid' WHEN score >= 0.67 THEN 'primary' WHEN score >= 0.63 THEN 'fallback' ELSE 'none' END AS kind, count(*) AS n, count(DISTINCT cam1_gid) AS n_cam1 FROM cross_camera_pair_scores GROUP BY 1",
@@ -241,3 +251,5 @@ def _windows_sql() -> str:
 
 
 SQL["tracklets_in_windows"] = _windows_sql()
+# A sure pair is its cam1_gid's only one, so the greedy matching is each cam2_gid's best.
+SQL["cross_cam_assign"] = f"SELECT cam1_gid, cam2_gid, score FROM (SELECT *, row_number() OVER (PARTITION BY cam2_gid ORDER BY score DESC, cam1_gid) AS k FROM ({SQL['cross_cam_pairs']})) WHERE k = 1"

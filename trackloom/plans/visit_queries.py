@@ -186,6 +186,21 @@ SQL = {
     "sessionize": with_cte(_PARTS + "SELECT clip_id, global_id, zone_key, CAST(visit AS BIGINT) AS visit, min(ms) AS enter_ms, max(ms) AS exit_ms, count(*) AS n_rows FROM b GROUP BY ALL"),
     "visits_capped": with_cte(_PARTS + "SELECT clip_id, global_id, zone_key, CAST(visit AS BIGINT) AS visit, min(ms) AS enter_ms, max(ms) AS exit_ms, CAST(coalesce(sum(pause), 0) AS BIGINT) AS dwell_ms, count(*) AS n_rows FROM c GROUP BY clip_id, global_id, zone_key, visit HAVING count(*) >= 2 AND coalesce(sum(pause), 0) >= 500"),
     "visits_runs": with_cte(_RUNS + "SELECT clip_id, global_id, zone_key, first_ms AS enter_ms, exit_ms FROM s WHERE zone_key IS NOT NULL AND exit_ms > first_ms"),
+    "visits_hysteresis": with_cte(_RUNS.rstrip() + """, q AS (SELECT r.*, cn.n FROM r JOIN (SELECT clip_id, global_id, run, count(*) AS n FROM b GROUP BY ALL) cn USING (clip_id, global_id, run)),
+        st AS (SELECT DISTINCT clip_id, global_id, CAST(0 AS HUGEINT) AS run, NULL::VARCHAR AS zone, NULL::BIGINT AS since, false AS has, NULL::VARCHAR AS cz, NULL::BIGINT AS cs, NULL::VARCHAR AS za, NULL::BIGINT AS a1, NULL::BIGINT AS a2, NULL::VARCHAR AS zb, NULL::BIGINT AS b1, NULL::BIGINT AS b2 FROM q
+          UNION ALL
+          SELECT clip_id, global_id, run, CASE WHEN same THEN zone WHEN c2 THEN z ELSE zone1 END, CASE WHEN same THEN since WHEN c2 THEN CASE WHEN z IS NOT NULL THEN f END ELSE since1 END, NOT same AND NOT c2, z, f,
+            CASE WHEN c1 AND zone IS NOT NULL AND cs > since THEN zone END, since, cs, CASE WHEN NOT same AND c2 AND zone1 IS NOT NULL AND f > since1 THEN zone1 END, since1, f
+          FROM (SELECT *, CASE WHEN c1 THEN cz ELSE zone END AS zone1, CASE WHEN c1 THEN CASE WHEN cz IS NOT NULL THEN cs END ELSE since END AS since1 FROM (
+            SELECT q.clip_id, q.global_id, q.run, q.zone_key AS z, q.first_ms AS f, st.zone, st.since, st.cz, st.cs, coalesce(q.zone_key = st.zone, false) AS same, NOT coalesce(q.zone_key = st.zone, false) AND st.has AND q.first_ms - st.cs >= 500 AS c1, q.last_ms - q.first_ms >= 500 AND q.n > 1 AS c2
+            FROM st JOIN q ON q.clip_id = st.clip_id AND q.global_id = st.global_id AND q.run = st.run + 1))),
+        en AS (SELECT clip_id, global_id, max(run) AS run, max(last_ms) AS last_ms FROM q GROUP BY ALL)
+        SELECT clip_id, global_id, za AS zone_key, a1 AS enter_ms, a2 AS exit_ms FROM st WHERE za IS NOT NULL UNION ALL SELECT clip_id, global_id, zb, b1, b2 FROM st WHERE zb IS NOT NULL
+        UNION ALL SELECT st.clip_id, st.global_id, zone, since, en.last_ms FROM st JOIN en ON en.clip_id = st.clip_id AND en.global_id = st.global_id AND en.run = st.run WHERE zone IS NOT NULL AND en.last_ms > since""", recursive=True),
+    "zone_engine_visits": with_cte(_RUNS.rstrip() + """, fi AS (SELECT clip_id, global_id, run, zone_key, first_ms FROM r), co AS (SELECT fi.*, min(b.ms) FILTER (b.ms - first_ms >= 1000) AS commit_ms FROM fi JOIN b ON b.clip_id = fi.clip_id AND b.global_id = fi.global_id AND b.run = fi.run GROUP BY ALL),
+        he AS (SELECT *, CASE WHEN run = 1 THEN first_ms ELSE commit_ms END AS since FROM co WHERE run = 1 OR commit_ms IS NOT NULL), ch AS (SELECT *, lag(zone_key) OVER w AS zp, row_number() OVER w AS rn FROM he WINDOW w AS (PARTITION BY clip_id, global_id ORDER BY run)),
+        ca AS (SELECT *, lead(since) OVER (PARTITION BY clip_id, global_id ORDER BY run) AS left_ms FROM ch WHERE rn = 1 OR zp IS DISTINCT FROM zone_key), la AS (SELECT clip_id, max(ms) AS clip_end FROM b GROUP BY clip_id)
+        SELECT ca.clip_id, global_id, zone_key, since AS enter_ms, coalesce(left_ms, clip_end) AS exit_ms FROM ca JOIN la ON la.clip_id = ca.clip_id WHERE zone_key IS NOT NULL AND coalesce(left_ms, clip_end) > since"""),
     "zone_summary_sql": with_cte("SELECT camera, zone_key, count(*) AS visits, CAST(sum(dwell_ms) AS BIGINT) AS dwell_ms, round(avg(dwell_ms), 4) AS avg_dwell_ms FROM vv GROUP BY ALL"),
     "export_zone_summary": with_cte("SELECT zone_key, count(*) AS visits, floor((sum(dwell_ms) + 5) / 10) / 100 AS total_dwell_s, round(avg(dwell_ms) / 1000.0, 2) AS avg_dwell_s FROM vv GROUP BY ALL"),
     "zone_summary": with_cte(_SUMMARY + "SELECT * FROM zs"),
