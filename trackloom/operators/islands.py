@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,32 +60,42 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Col
     return _beside(counted, offsets, parts, ["__opens", "__n_before"]).withColumn(name, F.col("__in") + F.col("__opens") + F.col("__n_before")).drop("__in", "__opens", "__n_before", "__cut", "__prev", "__block")
 
 
+_ARROW = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
 def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[tuple], object], schema: str) -> DataFrame:
     """A sequential state machine over each group in order, for what depends on its own earlier decisions.
 
-    ``start(key)`` gives an object with ``step(row) -> iterable of result tuples`` and ``end() -> iterable``. Groups are streamed: a task
-    holds one state and one batch, never a group. Results are tuples in the order of ``schema``.
+    ``start(key)`` gives an object with ``step(row) -> iterable of result tuples`` and ``end() -> iterable``. Rows are named tuples of plain
+    Python values (nulls are None). Groups are streamed: a task holds one state and one batch, never a group. Results are tuples
+    in the order of ``schema`` (bigint, string, double, boolean).
     """
     ship_package(df.sparkSession)
-    names = [part.split()[0] for part in schema.split(",")]
+    fields = pa.schema([(name, _ARROW[kind]) for name, kind in (part.split() for part in schema.split(","))])
     width = len(keys)
+    rest = [c for c in df.columns if c not in keys]
+    names = [*keys, *rest]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Row = namedtuple("Row", names)
         state, current, begun = None, None, False
+
+        def packed(results: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*results), fields)], schema=fields)
+
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.itertuples(index=False, name="Row"):
-                key = tuple(None if v is None or v != v else v for v in row[:width])
+            for row in map(Row._make, zip(*(c.to_pylist() for c in batch.columns))):
+                key = row[:width]
                 if not begun or key != current:
                     if begun:
                         out.extend(state.end())
                     state, current, begun = start(key), key, True
                 out.extend(state.step(row))
             if out:
-                yield pd.DataFrame(out, columns=names, dtype=object)
+                yield packed(out)
         if begun and (out := list(state.end())):
-            yield pd.DataFrame(out, columns=names, dtype=object)
+            yield packed(out)
 
-    rest = [c for c in df.columns if c not in keys]
-    placed = df.select(*keys, *rest).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
-    return placed.mapInPandas(run, schema)
+    placed = df.select(*names).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+    return placed.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.functions import vectors as v
-from trackloom.operators import embeddings, linking, matching, pairs
+from trackloom.operators import embeddings, linking, matching, pairs, reference
 from trackloom.plans.base import framed_view, with_cte
 from trackloom.sources.tables import Tables
 
@@ -171,7 +171,40 @@ def trust_decay(spark, d):
     return t.select("clip_id", "tracklet_id", F.round(v.trust(F.col("end_frame") - F.col("start_frame")), 8).alias("trust"))
 
 
+def ref_align(spark, d):
+    t = Tables(spark, d).tracklets.where("start_frame IS NOT NULL AND end_frame IS NOT NULL")
+    refs = t.where("final_gid > 0").groupBy("clip_id", F.col("final_gid").alias("ref")).agg(F.avg("median_h_ratio").alias("rh"), F.avg("median_aspect").alias("ra"))
+    score = 0.65 * v.ratio(F.col("median_h_ratio"), F.col("rh")) + 0.35 * v.ratio(F.col("median_aspect"), F.col("ra"))
+    scores = t.join(refs, "clip_id").select("clip_id", F.col("tracklet_id").alias("target"), "ref", F.round(score, 6).alias("score")).where("score >= 0.5")
+    targets = t.select("clip_id", F.col("tracklet_id").alias("target"), F.col("source_gid").alias("source"), F.col("num_rows").alias("n_rows"), "start_frame", "end_frame")
+    return reference.claimed(targets, scores)
+
+
+def _anchors(spark, d):
+    e = Tables(spark, d).embeddings
+    return reference.anchor_evidence(e, e)
+
+
+def anchor_evidence(spark, d):
+    return _anchors(spark, d).select("target", "ref", "mean", "best", "vote", "n", F.col("rank").cast("bigint").alias("rank"), "margin")
+
+
+def anchor_strong(spark, d):
+    return reference.anchored(_anchors(spark, d), 0.05, 0.2, 0.15, 0.01)
+
+
+def pair_separate(spark, d):
+    return reference.separated(Tables(spark, d).embeddings, 0, 1)
+
+
+def identity_layer(spark, d):
+    e = Tables(spark, d).embeddings.where("embedding IS NOT NULL")
+    rows = e.select(F.lit("all").alias("clip_id"), F.floor(F.col("vec_id") / 10).alias("frame_idx"), F.col("vec_id").alias("row_idx"), F.col("label").alias("local_id"), F.lit(0.8).alias("quality"), v.unit_vector(F.col("embedding")).alias("v"))
+    return reference.identified(rows, reference.LayerRules(reuse=0.25))
+
+
 QUERIES = {f.__name__: f for f in (
+    ref_align, anchor_evidence, anchor_strong, pair_separate, identity_layer,
     reentry_candidates, reentry_scores, rerank, reentry_decide, stitch_candidates, stitch, group_merge, local_consistency, majority_vote, tracklets_in_windows, top2_margin, cross_cam_pairs, cross_cam_assign, pair_score, match_type_hist,
     reason_histogram, deployment_summary, trace_join, version_diff, topk_matches, centroids, topk_set_similarity, anchor_votes, anchor_mean, prototype_clean, color_sim, gallery_ema, id_bank, drift_split, sim_merge, trust_decay,
 )}
@@ -238,6 +271,10 @@ SQL = {
         SELECT a, b, round(0.4::DOUBLE * s[1] + 0.3::DOUBLE * s[2] + 0.2::DOUBLE * s[3] + 0.1::DOUBLE * s[4] - 0.2::DOUBLE * greatest(list_max(s) - list_min(s) - 0.5::DOUBLE, 0), 6) AS similarity FROM c""",
     "prototype_clean": f"""WITH {_CENT}, d AS (SELECT vec_id, u.label, list_dot_product(v, c) AS coherence FROM u JOIN cn ON cn.label = u.label), m AS (SELECT label, median(coherence) AS med FROM d GROUP BY label)
         SELECT d.label, count(*) AS n, count(*) FILTER (coherence >= med - 0.05::DOUBLE) AS n_kept, round(avg(coherence) FILTER (coherence >= med - 0.05::DOUBLE), 6) AS coherence FROM d JOIN m ON m.label = d.label GROUP BY d.label""",
+    "anchor_evidence": None,
+    "anchor_strong": None,
+    "pair_separate": f"""WITH {_VEC}, x AS (SELECT label, unnest(v) AS val, generate_subscripts(v, 1) AS i FROM u WHERE label IN (0, 1)), c0 AS (SELECT label, i, avg(val) AS m FROM x GROUP BY ALL), c1 AS (SELECT label, list(m ORDER BY i) AS m FROM c0 GROUP BY label), cn AS (SELECT label, list_transform(m, lambda z: z / sqrt(list_dot_product(m, m))) AS c FROM c1),
+        s AS (SELECT vec_id, label, round(list_dot_product(v, (SELECT c FROM cn WHERE label = 0)) - list_dot_product(v, (SELECT c FROM cn WHERE label = 1)), 9) AS lead FROM u WHERE label IN (0, 1)) SELECT vec_id, label, CAST(CASE WHEN lead >= 0.08 THEN 0 WHEN lead <= -0.08 THEN 1 ELSE label END AS BIGINT) AS new_label FROM s""",
     "trust_decay": "SELECT clip_id, tracklet_id, round(greatest(0.02::DOUBLE, 0.06::DOUBLE * exp(-0.004::DOUBLE * (end_frame - start_frame) - 0.002::DOUBLE * greatest(end_frame - start_frame - 240, 0))), 8) AS trust FROM tracklets",
     "tracklets_in_windows": None,
 }
@@ -251,5 +288,11 @@ def _windows_sql() -> str:
 
 
 SQL["tracklets_in_windows"] = _windows_sql()
+_EVIDENCE = f"""WITH {_CENT}, n0 AS (SELECT vec_id, u.label AS target, cn.label AS ref, round(list_dot_product(v, c), 9) AS d FROM u CROSS JOIN cn), v0 AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d DESC, ref) AS k FROM n0),
+s0 AS (SELECT target, ref, round(avg(d), 6) AS mean, round(max(d), 6) AS best, round(count(*) FILTER (k = 1) / count(*), 6) AS vote, count(*) AS n FROM v0 GROUP BY ALL),
+ev AS (SELECT *, row_number() OVER w AS rank, round(mean - coalesce(lead(mean) OVER w, -1), 6) AS margin FROM s0 WINDOW w AS (PARTITION BY target ORDER BY mean DESC, ref))"""
+SQL["anchor_evidence"] = _EVIDENCE + " SELECT * FROM ev"
+SQL["anchor_strong"] = _EVIDENCE + """, t AS (SELECT *, CASE WHEN n < 5 THEN 'low_prototype_quality' WHEN mean < 0.05 THEN 'below_min_mean' WHEN best < 0.2 THEN 'below_min_best' WHEN vote < 0.15 THEN 'votes_disagree' WHEN margin < 0.01 THEN 'below_min_margin' ELSE 'accepted' END AS reason FROM ev WHERE rank = 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY ref, reason = 'accepted' ORDER BY mean DESC, target) AS k FROM t) SELECT target, ref, mean, CASE WHEN reason = 'accepted' AND k > 1 THEN 'reserved' ELSE reason END AS reason FROM r"""
 # A sure pair is its cam1_gid's only one, so the greedy matching is each cam2_gid's best.
 SQL["cross_cam_assign"] = f"SELECT cam1_gid, cam2_gid, score FROM (SELECT *, row_number() OVER (PARTITION BY cam2_gid ORDER BY score DESC, cam1_gid) AS k FROM ({SQL['cross_cam_pairs']})) WHERE k = 1"
