@@ -133,7 +133,7 @@ class _Union:
         merged = sorted(self.spans[a] + self.spans[b])
         latest = merged[0][1]
         for start, end in merged[1:]:
-            if latest - start + 1 > self.tolerance:
+            if min(latest, end) - start + 1 > self.tolerance:
                 return ()
             latest = max(latest, end)
         # The earliest interval gives its name; of equal starts the lower id.

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.operators import evaluate, hygiene, linking, matching, pairs
-from trackloom.plans.base import framed_view, with_cte
+from trackloom.plans.base import framed_view, greedy_sql, union_sql, with_cte
+from trackloom.plans.track_queries import _BH, _BW, _FITS
 from trackloom.sources.tables import Tables
 
 
@@ -192,3 +193,58 @@ SQL = {
     "missing_frames": with_cte("SELECT clip_id, frame_idx FROM fr EXCEPT SELECT clip_id, frame_idx FROM fr WHERE global_id > 0"),
     "mot_export": with_cte("k AS (SELECT *, dense_rank() OVER (PARTITION BY clip_id ORDER BY frame_idx) AS k FROM fr) SELECT row_idx, clip_id, printf('%d,%d,%.3f,%.3f,%.3f,%.3f,%d,-1,-1,-1', k, global_id, x1, y1, x2 - x1, y2 - y1, CASE WHEN zone_key IS NULL THEN 0 ELSE 1 END) AS line FROM k"),
 }
+
+
+def _versions() -> str:
+    """CTEs: un (fr after one box per identity and frame), and for s in 0 (fr), 1 (un): best matches, purity and duplicates."""
+    score = f"0.58::DOUBLE * ({_BW} * {_BH}) + 0.20::DOUBLE * coalesce(n_rows, 0) + 0.14::DOUBLE * coalesce(span, 1) + 0.08::DOUBLE * {_FITS}"
+    parts = [
+        "jd AS (SELECT row_idx AS ask_id, clip_id, frame_idx, global_id AS person_id, x1 + 5 AS x1, y1 + 7 AS y1, x2 + 5 AS x2, y2 + 7 AS y2 FROM fr WHERE zone_key = 'entrance_zone' AND global_id > 0)",
+        "ex AS (SELECT clip_id, global_id, count(*) AS n_rows, max(frame_idx) - min(frame_idx) + 1 AS span FROM fr WHERE global_id > 0 GROUP BY ALL)",
+        f"sc AS (SELECT fr.*, {score} AS sc FROM fr LEFT JOIN ex ON ex.clip_id = fr.clip_id AND ex.global_id = fr.global_id)",
+        "un AS (SELECT * REPLACE (CASE WHEN global_id > 0 AND row_number() OVER (PARTITION BY clip_id, frame_idx, global_id ORDER BY sc DESC, row_idx) > 1 THEN 0 ELSE global_id END AS global_id) FROM sc)",
+    ]
+    for k, t in enumerate(("fr", "un")):
+        parts += [
+            f"ed{k} AS (SELECT ask_id, b.row_idx, b.global_id, {_IOU} AS v FROM jd a JOIN {t} b ON a.clip_id = b.clip_id AND a.frame_idx = b.frame_idx WHERE b.global_id > 0)",
+            f"bm{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ask_id ORDER BY v DESC, row_idx) AS r FROM ed{k} WHERE v >= 0.34) WHERE r = 1)",
+            f"jm{k} AS (SELECT jd.ask_id, jd.clip_id, jd.person_id, b.global_id FROM jd LEFT JOIN bm{k} b ON b.ask_id = jd.ask_id)",
+            f"ct{k} AS (SELECT clip_id, person_id, global_id, count(*) AS n FROM jm{k} WHERE global_id IS NOT NULL GROUP BY ALL)",
+            f"pu{k} AS (SELECT clip_id, round(avg(top), 6) AS id_purity, count(*) FILTER (k > 1) AS mixed_ids FROM (SELECT clip_id, global_id, max(n) / sum(n) AS top, count(*) AS k FROM ct{k} GROUP BY ALL) GROUP BY clip_id)",
+            f"dd{k} AS (SELECT clip_id, CAST(sum(n - 1) AS BIGINT) AS d FROM (SELECT clip_id, count(*) AS n FROM {t} WHERE global_id > 0 GROUP BY clip_id, frame_idx, global_id) GROUP BY clip_id)",
+            f"xx{k} AS (SELECT clip_id, global_id, count(*) AS n, max(frame_idx) - min(frame_idx) + 1 AS span FROM {t} WHERE global_id > 0 GROUP BY ALL)",
+        ]
+    return ", ".join(parts)
+
+
+def _guard_side(k: int, s: str) -> str:
+    return f"g{k} AS (SELECT c.clip_id, coalesce(id_purity, 0) AS purity_{s}, coalesce(mixed_ids, 0) AS mixed_{s}, coalesce(d, 0) AS dups_{s} FROM (SELECT DISTINCT clip_id FROM jd) c LEFT JOIN pu{k} USING (clip_id) LEFT JOIN dd{k} USING (clip_id))"
+
+
+def _ablation_row(k: int, name: str, t: str) -> str:
+    return f"""SELECT '{name}' AS version, (SELECT count(*) FROM {t} WHERE global_id > 0) AS n_positive, (SELECT count(*) FROM xx{k}) AS n_ids, (SELECT count(*) FROM xx{k} WHERE n >= 30 AND span >= 32) AS n_stable, (SELECT CAST(coalesce(sum(d), 0) AS BIGINT) FROM dd{k}) AS n_duplicates,
+      (SELECT count(global_id) FROM jm{k}) AS n_matched, (SELECT round(avg(id_purity), 6) FROM pu{k}) AS id_purity, (SELECT CAST(sum(mixed_ids) AS BIGINT) FROM pu{k}) AS mixed_ids"""
+
+
+_FRAME_GROUP = ["clip_id", "frame_idx"]
+_TRUTH = _MOT[: _MOT.index("ml AS MATERIALIZED")].rstrip().rstrip(",")
+SQL |= {
+    "purity_guard": with_cte(_versions() + f", {_guard_side(0, 'before')}, {_guard_side(1, 'after')} SELECT *, purity_after >= purity_before - 0.01::DOUBLE AND mixed_after <= mixed_before AND dups_after <= dups_before AS keep FROM g0 JOIN g1 USING (clip_id)"),
+    "ablation_score": with_cte(_versions() + f", z AS ({_ablation_row(0, 'as_is', 'fr')} UNION ALL {_ablation_row(1, 'unique', 'un')}) SELECT * FROM z"),
+    "audit_greedy_match": with_cte(_JUDGED + f", ge AS (SELECT clip_id, frame_idx, ask_id AS l, ed.row_idx AS r, {_IOU.replace('1e-6', '1e-9')} AS s FROM (SELECT ask_id, row_idx FROM ed) ed JOIN jd a USING (ask_id) JOIN (SELECT row_idx, x1, y1, x2, y2 FROM fr) b ON b.row_idx = ed.row_idx), gf AS (SELECT * FROM ge WHERE s >= 0.34), {greedy_sql('gf', _FRAME_GROUP, 'gm')} SELECT l AS \"left\", r AS \"right\", round(s, 6) AS iou FROM gm WHERE ok".replace('\\"', '"'), recursive=True),
+    "mot_idf1": with_cte(_TRUTH + f""", sh AS (SELECT tr.clip_id, tr.person_id AS l, pr.global_id AS r, CAST(count(DISTINCT me.frame_idx) AS DOUBLE) AS s FROM me JOIN tr ON tr.ask_id = me.l JOIN pr ON pr.row_idx = me.r WHERE me.s >= 0.5 GROUP BY ALL), {greedy_sql('sh', ['clip_id'], 'gm')},
+        tp AS (SELECT clip_id, sum(s) AS idtp FROM gm WHERE ok GROUP BY clip_id), tn AS (SELECT clip_id, count(*) AS n_truth FROM tr GROUP BY clip_id), pn AS (SELECT clip_id, count(*) AS n_predicted FROM pr GROUP BY clip_id), j AS (SELECT clip_id, n_truth, n_predicted, CAST(coalesce(idtp, 0) AS BIGINT) AS idtp FROM tn JOIN pn USING (clip_id) LEFT JOIN tp USING (clip_id))
+        SELECT *, round(idtp / n_predicted, 6) AS id_precision, round(idtp / n_truth, 6) AS id_recall, round(2 * idtp / (n_truth + n_predicted), 6) AS id_f1 FROM j""", recursive=True),
+    "audit_promote": with_cte(f"""lo AS (SELECT clip_id, frame_idx, row_idx % 5 + 1 AS person_id, x1 + 3 AS x1, y1 + 3 AS y1, x2 + 3 AS x2, y2 + 3 AS y2 FROM fr WHERE global_id <= 0),
+        ge AS (SELECT a.clip_id, a.frame_idx, a.person_id AS l, b.row_idx AS r, max({_IOU}) AS s FROM lo a JOIN fr b ON a.clip_id = b.clip_id AND a.frame_idx = b.frame_idx WHERE b.global_id <= 0 AND {_IOU} >= 0.34 GROUP BY a.clip_id, a.frame_idx, a.person_id, b.row_idx),
+        gf AS (SELECT * FROM ge WHERE NOT EXISTS (SELECT 1 FROM fr WHERE fr.clip_id = ge.clip_id AND fr.frame_idx = ge.frame_idx AND fr.global_id = ge.l)), {greedy_sql('gf', _FRAME_GROUP, 'gm')} SELECT r AS row_idx, l AS global_id FROM gm WHERE ok""", recursive=True),
+    "aba_smooth": with_cte(f"""fs AS (SELECT clip_id, frame_idx, lag(frame_idx) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS p FROM (SELECT DISTINCT clip_id, frame_idx FROM fr)),
+        le AS (SELECT b.clip_id, b.frame_idx, a.row_idx AS l, b.row_idx AS r, {_IOU} AS v, sqrt(((a.x1 + a.x2 - b.x1 - b.x2) / 2) ** 2 + ((a.y1 + a.y2 - b.y1 - b.y2) / 2) ** 2) / greatest(a.y2 - a.y1, b.y2 - b.y1, 1) AS far FROM fs JOIN fr b ON b.clip_id = fs.clip_id AND b.frame_idx = fs.frame_idx JOIN fr a ON a.clip_id = fs.clip_id AND a.frame_idx = fs.p WHERE fs.frame_idx - p <= 6),
+        lf AS (SELECT clip_id, frame_idx, l, r, 0.75::DOUBLE * v + 0.25::DOUBLE * exp(-far) AS s FROM le WHERE v > 0 AND 0.75::DOUBLE * v + 0.25::DOUBLE * exp(-far) >= 0.3), {greedy_sql('lf', _FRAME_GROUP, 'gm')}, lk AS (SELECT l, r FROM gm WHERE ok),
+        bl AS (SELECT f.row_idx, f.clip_id, f.frame_idx, a.global_id AS g FROM lk x JOIN lk y ON y.l = x.r JOIN fr f ON f.row_idx = x.r JOIN fr a ON a.row_idx = x.l JOIN fr c ON c.row_idx = y.r WHERE a.global_id = c.global_id AND a.global_id > 0 AND a.global_id <> f.global_id),
+        ok AS (SELECT *, row_number() OVER (PARTITION BY clip_id, frame_idx, g ORDER BY row_idx) AS k FROM bl WHERE NOT EXISTS (SELECT 1 FROM fr WHERE fr.clip_id = bl.clip_id AND fr.frame_idx = bl.frame_idx AND fr.global_id = bl.g)) SELECT row_idx, g AS global_id FROM ok WHERE k = 1""", recursive=True),
+}
+SQL["fragment_merge"] = with_cte(f"""ex AS (SELECT clip_id, global_id, count(*) AS n, min(frame_idx) AS f, max(frame_idx) AS l, avg(y2 - y1) AS ta FROM fr WHERE global_id > 0 GROUP BY ALL), nd AS (SELECT clip_id, global_id AS node, f AS start_frame, l AS end_frame FROM ex),
+    sp AS (SELECT DISTINCT a.clip_id, a.global_id AS ga, b.global_id AS gb FROM fr a JOIN fr b ON a.clip_id = b.clip_id AND a.frame_idx = b.frame_idx AND a.global_id <> b.global_id WHERE a.global_id > 0 AND b.global_id > 0),
+    e0 AS (SELECT a.clip_id, a.global_id AS a, b.global_id AS b, round(least(a.ta, b.ta) / greatest(a.ta, b.ta, 1), 6) AS score FROM ex a JOIN ex b ON a.clip_id = b.clip_id WHERE (a.n < 30 OR a.l - a.f + 1 < 32) AND NOT (b.n < 30 OR b.l - b.f + 1 < 32) AND NOT EXISTS (SELECT 1 FROM sp WHERE sp.clip_id = a.clip_id AND ga = a.global_id AND gb = b.global_id)),
+    e1 AS (SELECT * FROM e0 WHERE score >= 0.8), {union_sql('nd', 'e1', 0, 'cu')} SELECT clip_id, node, root FROM cu_r""", recursive=True)

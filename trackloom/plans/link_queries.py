@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import vectors as v
 from trackloom.operators import embeddings, linking, matching, pairs, reference
-from trackloom.plans.base import framed_view, with_cte
+from trackloom.plans.base import framed_view, greedy_sql, union_sql, with_cte
 from trackloom.sources.tables import Tables
 
 
@@ -288,6 +288,8 @@ def _windows_sql() -> str:
 
 
 SQL["tracklets_in_windows"] = _windows_sql()
+SQL["anchor_mean"] = f"""WITH RECURSIVE {_CENT}, e0 AS (SELECT 'x' AS g, a.label AS l, b.label AS r, round(list_dot_product(a.c, b.c), 6) AS s FROM cn a JOIN cn b ON a.label < b.label), e1 AS (SELECT * FROM e0 WHERE s >= 0),
+{greedy_sql('e1', ['g'], 'gm')} SELECT l, r, s AS similarity FROM gm WHERE ok"""
 _EVIDENCE = f"""WITH {_CENT}, n0 AS (SELECT vec_id, u.label AS target, cn.label AS ref, round(list_dot_product(v, c), 9) AS d FROM u CROSS JOIN cn), v0 AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d DESC, ref) AS k FROM n0),
 s0 AS (SELECT target, ref, round(avg(d), 6) AS mean, round(max(d), 6) AS best, round(count(*) FILTER (k = 1) / count(*), 6) AS vote, count(*) AS n FROM v0 GROUP BY ALL),
 ev AS (SELECT *, row_number() OVER w AS rank, round(mean - coalesce(lead(mean) OVER w, -1), 6) AS margin FROM s0 WINDOW w AS (PARTITION BY target ORDER BY mean DESC, ref))"""
@@ -296,3 +298,20 @@ SQL["anchor_strong"] = _EVIDENCE + """, t AS (SELECT *, CASE WHEN n < 5 THEN 'lo
     r AS (SELECT *, row_number() OVER (PARTITION BY ref, reason = 'accepted' ORDER BY mean DESC, target) AS k FROM t) SELECT target, ref, mean, CASE WHEN reason = 'accepted' AND k > 1 THEN 'reserved' ELSE reason END AS reason FROM r"""
 # A sure pair is its cam1_gid's only one, so the greedy matching is each cam2_gid's best.
 SQL["cross_cam_assign"] = f"SELECT cam1_gid, cam2_gid, score FROM (SELECT *, row_number() OVER (PARTITION BY cam2_gid ORDER BY score DESC, cam1_gid) AS k FROM ({SQL['cross_cam_pairs']})) WHERE k = 1"
+_NODES = "nd AS (SELECT clip_id, tracklet_id AS node, start_frame, end_frame FROM tracklets)"
+SQL["stitch"] = "WITH RECURSIVE" + SQL["stitch_candidates"].strip().removeprefix("WITH").rsplit("SELECT clip_id, a, b, gap", 1)[0].rstrip() + f""",
+se AS (SELECT clip_id, a, b, round(score, 9) AS score FROM t WHERE sh >= 0.58 AND (gap < 180 OR NOT ins) AND score >= 0.66), {_NODES}, {union_sql('nd', 'se', 3, 'cu')} SELECT clip_id, node, root FROM cu_r"""
+SQL["group_merge"] = _REENTRY.replace("WITH cp", "WITH RECURSIVE cp", 1).rstrip() + f""", se AS (SELECT clip_id, p_tracklet_id AS a, c_tracklet_id AS b, round(final, 9) AS score FROM rr WHERE final >= 0.78), {_NODES}, {union_sql('nd', 'se', 0, 'cu')} SELECT clip_id, node, root FROM cu_r"""
+SQL["sim_merge"] = f"""WITH RECURSIVE {_CENT}, nd AS (SELECT 'all' AS clip_id, label AS node, min(vec_id) AS start_frame, max(vec_id) AS end_frame FROM embeddings GROUP BY label),
+e0 AS (SELECT 'all' AS clip_id, a.label AS a, b.label AS b, round(list_dot_product(a.c, b.c), 6) AS score FROM cn a JOIN cn b ON a.label < b.label), e1 AS (SELECT * FROM e0 WHERE score >= 0.1), {union_sql('nd', 'e1', 1 << 40, 'cu')} SELECT clip_id, node, root FROM cu_r"""
+_GID = lambda x: f"list_filter(ids, lambda z: z.t = {x})[1].g"
+SQL["reentry_decide"] = _REENTRY.replace("WITH cp", "WITH RECURSIVE cp", 1).rstrip() + f""",
+op AS (SELECT clip_id, c_tracklet_id, max(final) FILTER (rank = 1) AS f1, max(p_tracklet_id) FILTER (rank = 1) AS p1, max(final) FILTER (rank = 2) AS f2, max(p_tracklet_id) FILTER (rank = 2) AS p2 FROM rr WHERE rank <= 2 GROUP BY ALL),
+tl AS MATERIALIZED (SELECT t.clip_id, t.tracklet_id AS tid, t.start_frame AS s, t.end_frame AS e, f1, p1, f2, p2, row_number() OVER (PARTITION BY t.clip_id ORDER BY t.start_frame, t.tracklet_id) AS k FROM tracklets t LEFT JOIN op ON op.clip_id = t.clip_id AND op.c_tracklet_id = t.tracklet_id),
+tg AS (SELECT clip_id, max(source_gid) + 1 AS fresh FROM tracklets GROUP BY clip_id),
+dc AS (SELECT clip_id, CAST(0 AS BIGINT) AS k, NULL::BIGINT AS tid, NULL::BIGINT AS gid, NULL::VARCHAR AS reason, []::STRUCT(t BIGINT, g BIGINT)[] AS ids, []::STRUCT(g BIGINT, u BIGINT)[] AS busy, fresh FROM tg UNION ALL
+  SELECT clip_id, k, tid, CASE WHEN ok THEN known ELSE fresh END, reason, list_append(ids, struct_pack(t := tid, g := CASE WHEN ok THEN known ELSE fresh END)), list_append(busy, struct_pack(g := CASE WHEN ok THEN known ELSE fresh END, u := e)), CASE WHEN ok THEN fresh ELSE fresh + 1 END
+  FROM (SELECT *, reason IN ('strong_reentry_reuse', 'same_candidate_safe_accept') AS ok FROM (SELECT *, CASE WHEN f1 IS NULL OR known IS NULL THEN 'new_id_no_candidate' WHEN f1 < 0.70 THEN 'rejected_weak_score' WHEN lead < 0.03 AND NOT agree THEN 'rejected_ambiguous_margin'
+      WHEN coalesce(list_max(list_transform(list_filter(busy, lambda z: z.g = known), lambda z: z.u)), -1) >= s THEN 'rejected_overlap_conflict' WHEN lead >= 0.03 THEN 'strong_reentry_reuse' ELSE 'same_candidate_safe_accept' END AS reason
+    FROM (SELECT dc.clip_id, tl.k, tl.tid, tl.s, tl.e, f1, f1 - coalesce(f2, -1) AS lead, {_GID('tl.p1')} AS known, f2 IS NOT NULL AND coalesce({_GID('tl.p2')} = {_GID('tl.p1')}, false) AS agree, ids, busy, fresh FROM dc JOIN tl ON tl.clip_id = dc.clip_id AND tl.k = dc.k + 1))))
+SELECT clip_id, tid AS tracklet_id, gid AS identity, reason FROM dc WHERE k > 0"""
