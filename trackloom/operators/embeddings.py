@@ -26,11 +26,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     The stated queries are broadcast (measured) against all vectors in blocks of the vectors' partitions; map tasks keep ``k`` a query.
     """
     if k <= 0:
-        return vectors.limit(0).select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
+        return vectors.limit(0).select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("similarity"), F.lit(0).cast("bigint").alias("rank"))
     asked = broadcast_if_small(_unit(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
     pairs = _unit(vectors).join(asked, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("similarity"))
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
 
 
 def centroids(vectors: DataFrame) -> DataFrame:

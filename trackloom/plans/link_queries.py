@@ -244,12 +244,12 @@ SQL = {
     "gallery_ema": f"""WITH RECURSIVE {_VEC}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM u),
         g AS (SELECT label, vec_id, k, v AS c, NULL::DOUBLE AS s FROM o WHERE k = 1 UNION ALL
           SELECT label, vec_id, k, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))), s FROM (SELECT o.label, o.vec_id, o.k, list_dot_product(g.c, o.v) AS s, list_transform(range(1, 65), lambda i: 0.9::DOUBLE * g.c[i] + 0.1::DOUBLE * o.v[i]) AS m FROM g JOIN o ON o.label = g.label AND o.k = g.k + 1))
-        SELECT label, vec_id, k AS n, round(s, 6) AS similarity FROM g""",
+        SELECT CAST(label AS BIGINT) AS label, vec_id, k AS n, round(s, 6) AS similarity FROM g""",
     "drift_split": f"""WITH RECURSIVE {_VEC}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM u),
         g AS (SELECT label, vec_id, k, v AS c, CAST(1 AS BIGINT) AS n, CAST(1 AS BIGINT) AS segment FROM o WHERE k = 1 UNION ALL
           SELECT label, vec_id, k, CASE WHEN cut THEN v ELSE list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) END, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN segment + 1 ELSE segment END
           FROM (SELECT o.label, o.vec_id, o.k, o.v, g.n, g.segment, g.n >= 8 AND list_dot_product(g.c, o.v) < 0 AS cut, list_transform(range(1, 65), lambda i: 0.78::DOUBLE * g.c[i] + 0.22::DOUBLE * o.v[i]) AS m FROM g JOIN o ON o.label = g.label AND o.k = g.k + 1))
-        SELECT label, vec_id, segment FROM g""",
+        SELECT CAST(label AS BIGINT) AS label, vec_id, segment FROM g""",
     "pair_score": """WITH s AS (SELECT cam1_gid, 0.52::DOUBLE * sim_topk + 0.32::DOUBLE * sim_mean + 0.10::DOUBLE * greatest(sim_edge, 0) + 0.06::DOUBLE * shape AS z FROM cross_camera_pair_scores WHERE sim_topk IS NOT NULL AND sim_mean IS NOT NULL AND sim_edge IS NOT NULL AND shape IS NOT NULL)
         SELECT cam1_gid, count(*) AS n_pairs, round(max(z), 6) AS best, round(min(z), 6) AS worst FROM s GROUP BY cam1_gid""",
     "match_type_hist": "SELECT CASE WHEN score IS NULL OR isnan(score) OR NOT score BETWEEN 0 AND 1 THEN 'invalid' WHEN score >= 0.67 THEN 'primary' WHEN score >= 0.63 THEN 'fallback' ELSE 'none' END AS kind, count(*) AS n, count(DISTINCT cam1_gid) AS n_cam1 FROM cross_camera_pair_scores GROUP BY 1",
@@ -289,7 +289,7 @@ def _windows_sql() -> str:
 
 SQL["tracklets_in_windows"] = _windows_sql()
 SQL["anchor_mean"] = f"""WITH RECURSIVE {_CENT}, e0 AS (SELECT 'x' AS g, a.label AS l, b.label AS r, round(list_dot_product(a.c, b.c), 6) AS s FROM cn a JOIN cn b ON a.label < b.label), e1 AS (SELECT * FROM e0 WHERE s >= 0),
-{greedy_sql('e1', ['g'], 'gm')} SELECT l, r, s AS similarity FROM gm WHERE ok"""
+{greedy_sql('e1', ['g'], 'gm')} SELECT CAST(l AS INTEGER) AS l, CAST(r AS INTEGER) AS r, s AS similarity FROM gm WHERE ok"""
 _EVIDENCE = f"""WITH {_CENT}, n0 AS (SELECT vec_id, u.label AS target, cn.label AS ref, round(list_dot_product(v, c), 9) AS d FROM u CROSS JOIN cn), v0 AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d DESC, ref) AS k FROM n0),
 s0 AS (SELECT target, ref, round(avg(d), 6) AS mean, round(max(d), 6) AS best, round(count(*) FILTER (k = 1) / count(*), 6) AS vote, count(*) AS n FROM v0 GROUP BY ALL),
 ev AS (SELECT *, row_number() OVER w AS rank, round(mean - coalesce(lead(mean) OVER w, -1), 6) AS margin FROM s0 WINDOW w AS (PARTITION BY target ORDER BY mean DESC, ref))"""
