@@ -30,4 +30,4 @@ def top_pairs(scores: DataFrame, n: int = 3, subgroups: int = SUBGROUPS) -> Data
     within = Window.partitionBy("cam1_gid", "salt").orderBy(*order)
     survivors = salted.withColumn("r", F.row_number().over(within)).where(F.col("r") <= n).drop("r", "salt")
     final = Window.partitionBy("cam1_gid").orderBy(*order)
-    return survivors.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= n)
+    return survivors.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("bigint"))
