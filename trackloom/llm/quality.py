@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.spread import spread
@@ -50,6 +52,8 @@ STATISTICS = (
     "words_per_line",
 )
 LANGUAGES = ("en", "de", "ms", "zh")
+#: Growth of the buckets of a quantile sketch.
+GROWTH = 1.01
 #: Words of a window that tells running text, and the function words it must hold.
 WINDOW, HAN_WINDOW, DENSE = 13, 26, 2
 #: Longest word that can be part of running text, and signs after a word that count with it.
@@ -153,28 +157,42 @@ def document_statistics(documents: DataFrame) -> DataFrame:
 
 
 def language_sketches(statistics: DataFrame) -> DataFrame:
-    """One row per language: a KLL quantile sketch of every statistic. Sketches of parts merge (``merged_sketches``)."""
-    return statistics.groupBy("language").agg(F.count(F.lit(1)).alias("n_docs"), *[F.kll_sketch_agg_double(s).alias(s) for s in STATISTICS])
+    """Quantile sketches of every statistic per language, in long form: language, statistic, bucket, n.
+
+    A sketch counts values in buckets whose borders grow by the factor GROWTH (0 and below: bucket null), so a quantile is off by
+    at most half that factor. Counts add up, whatever the order or the parts, so the same corpus always gives the same sketch;
+    its size is bounded by the range of the values, not by their number.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in STATISTICS]))
+    value = F.col("p.value")
+    bucket = F.when(value > 0, F.floor(F.log(value) / math.log(GROWTH)).cast("int"))
+    return statistics.select("language", pairs.alias("p")).groupBy("language", F.col("p.statistic").alias("statistic"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def merged_sketches(*parts: DataFrame) -> DataFrame:
     """Sketches of several parts of a corpus (days, sources) as if taken over all of it."""
-    together = parts[0]
-    for part in parts[1:]:
-        together = together.unionByName(part)
-    return together.groupBy("language").agg(F.sum("n_docs").alias("n_docs"), *[F.kll_merge_agg_double(s).alias(s) for s in STATISTICS])
+    return reduce(DataFrame.unionByName, parts).groupBy("language", "statistic", "bucket").agg(F.sum("n").alias("n"))
+
+
+def sketch_quantiles(sketches: DataFrame, **at: float) -> DataFrame:
+    """language, statistic and one column per name in ``at``: the value at that quantile."""
+    order = Window.partitionBy("language", "statistic").orderBy(F.asc_nulls_first("bucket"))
+    whole = Window.partitionBy("language", "statistic")
+    counted = sketches.withColumns({"seen": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(whole)})
+    value = F.coalesce(F.pow(F.lit(GROWTH), F.col("bucket") + 0.5), F.lit(0.0))
+    return counted.groupBy("language", "statistic").agg(*[F.min(F.when(F.col("seen") >= q * F.col("total"), value)).alias(name) for name, q in at.items()])
 
 
 def robust_scores(statistics: DataFrame, sketches: DataFrame) -> DataFrame:
     """``<s>_z`` for each statistic: its distance from the language's median in robust standard deviations (the spread between
     the 16 % and 84 % quantiles, halved), limited to +-8. Texts of no known language are held against the merged sketches of all
-    languages. Sketches have a row per language of a fixed list, so they are broadcast."""
-    quantile = lambda s, q: F.kll_sketch_get_quantile_double(F.col(s), F.lit(q))
-    every = sketches.groupBy(F.lit("other").alias("language")).agg(F.sum("n_docs").alias("n_docs"), *[F.kll_merge_agg_double(s).alias(s) for s in STATISTICS])
-    scales = sketches.where("language <> 'other'").unionByName(every).select(
-        F.col("language").alias("of_language"),
-        *[quantile(s, 0.5).alias(f"{s}_mid") for s in STATISTICS],
-        *[((quantile(s, 0.84) - quantile(s, 0.16)) / 2).alias(f"{s}_dev") for s in STATISTICS],
+    languages. The quantiles have a row per language of a fixed list, so they are broadcast."""
+    every = merged_sketches(sketches.withColumn("language", F.lit("other")))
+    quantiles = sketch_quantiles(sketches.where("language <> 'other'").unionByName(every), low=0.16, mid=0.5, high=0.84)
+    of = lambda s, value: F.max(F.when(F.col("statistic") == s, value))
+    scales = quantiles.groupBy(F.col("language").alias("of_language")).agg(
+        *[of(s, F.col("mid")).alias(f"{s}_mid") for s in STATISTICS],
+        *[of(s, (F.col("high") - F.col("low")) / 2).alias(f"{s}_dev") for s in STATISTICS],
     )
     joined = statistics.join(F.broadcast(scales), F.col("language") == F.col("of_language"))
 
@@ -234,7 +252,8 @@ def prose_scores(documents: DataFrame, labels: DataFrame, most_labels: int = MOS
         .orderBy(F.xxhash64("l_id"), "l_id")
         .limit(most_labels)
     )
-    sample = scored.join(judged, F.col("doc_id") == F.col("l_id")).select("is_bad", *FEATURES).limit(4 * most_labels).toPandas()
+    sample = scored.join(judged, F.col("doc_id") == F.col("l_id")).select("l_id", "is_bad", *FEATURES).limit(4 * most_labels).toPandas()
+    sample = sample.sort_values(["l_id", *FEATURES])
     if sample["is_bad"].nunique() < 2:
         score = F.lit(0.5) - F.col("running_chars")
     else:
