@@ -202,27 +202,27 @@ def box_faults(tracks: DataFrame, cameras: DataFrame, rules: SpikeRules = SpikeR
     known = boxes.join(frames, F.col("camera") == F.col("of_camera"), "left")
     limits = known.where(impossible(F.col("frame_w"), F.col("frame_h"), r.outside)).select("id", F.lit("impossible").alias("fault"))
 
-    track, part = ["clip_id", "global_id"], ["clip_id", "global_id", "block"]
+    # A track's block is one struct, so that joins on it keep the partitioning and a null clip is a value like others.
+    part = F.struct("clip_id", "global_id", F.floor(F.col("frame_idx") / r.block).cast("bigint").alias("block")).alias("part")
     by_frame = (
         boxes.where("global_id > 0 AND frame_idx IS NOT NULL")
-        .select(*track, F.floor(F.col("frame_idx") / r.block).cast("bigint").alias("block"), "frame_idx", "camera", "id", *_BOX)
-        .repartition(*part)
-        .groupBy(*part, "frame_idx")
+        .select(part, "frame_idx", "camera", "id", *_BOX)
+        .repartition("part")
+        .groupBy("part", "frame_idx")
         .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id2"), F.min(F.struct("id", "camera", *_BOX)).alias("one"))
     )
     row = F.struct(F.col("frame_idx").alias("frame"), "n", F.col("one.id").alias("id"), "id2", *[F.col(f"one.{c}").alias(c) for c in _BOX]).cast(_ROW)
-    blocks = by_frame.groupBy(*part).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("one.camera").alias("camera"))
+    blocks = by_frame.groupBy("part").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("one.camera").alias("camera"))
 
-    edges = blocks.select(*part, F.slice(F.col("rows"), F.greatest(F.size("rows") - BEFORE + 1, F.lit(1)), BEFORE).alias("tail"), F.slice("rows", 1, AFTER).alias("head"))
-    in_order = Window.partitionBy(*track).orderBy("block")
+    edges = blocks.select("part", F.slice(F.col("rows"), F.greatest(F.size("rows") - BEFORE + 1, F.lit(1)), BEFORE).alias("tail"), F.slice("rows", 1, AFTER).alias("head"))
+    in_order = Window.partitionBy("part.clip_id", "part.global_id").orderBy("part.block")
     near = edges.select(
-        *[F.col(c).alias(f"e_{c}") for c in part],
+        "part",
         F.flatten(F.collect_list("tail").over(in_order.rowsBetween(-BEFORE, -1))).alias("before"),
         F.flatten(F.collect_list("head").over(in_order.rowsBetween(1, AFTER))).alias("after"),
     )
-    near = near.select("e_clip_id", "e_global_id", "e_block", F.slice(F.col("before"), F.greatest(F.size("before") - BEFORE + 1, F.lit(1)), BEFORE).alias("before"), F.slice("after", 1, AFTER).alias("after"))
-    on = F.col("clip_id").eqNullSafe(F.col("e_clip_id")) & (F.col("global_id") == F.col("e_global_id")) & (F.col("block") == F.col("e_block"))
-    spread = blocks.join(near, on)
+    near = near.select("part", F.slice(F.col("before"), F.greatest(F.size("before") - BEFORE + 1, F.lit(1)), BEFORE).alias("before"), F.slice("after", 1, AFTER).alias("after"))
+    spread = blocks.join(near, "part")
 
     # The usual change of a camera: the median over all successive boxes of all of its tracks.
     last = F.slice(F.col("before"), F.greatest(F.size("before"), F.lit(1)), 1)
@@ -240,9 +240,9 @@ def box_faults(tracks: DataFrame, cameras: DataFrame, rules: SpikeRules = SpikeR
     sized = spread.join(frames, F.col("camera") == F.col("of_camera"), "left").join(units, F.col("camera") == F.col("u_camera"), "left")
     tag = lambda rows, own: F.transform(rows, lambda b: F.struct(F.lit(own).alias("is_own"), b.alias("b")))
     flat = sized.select(
-        F.xxhash64("clip_id", "global_id", "block").alias("part"),
-        "clip_id",
-        "global_id",
+        F.xxhash64("part").alias("part"),
+        F.col("part.clip_id").alias("clip_id"),
+        F.col("part.global_id").alias("global_id"),
         F.coalesce("unit", F.lit(0.0)).alias("unit"),
         F.coalesce(F.col("fps") * r.pause_s, F.lit(float("inf"))).alias("pause"),
         "frame_w",
