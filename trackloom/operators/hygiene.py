@@ -305,8 +305,8 @@ def predicted(rows: DataFrame) -> DataFrame:
     cx, cy = centre(box())
     base = positive(rows).select("row_idx", *_ID, "frame_idx", cx.alias("cx"), cy.alias("cy"), _h().alias("hh"))
     block, order = F.floor(F.col("frame_idx") / BLOCK), ["frame_idx", "row_idx"]
-    one = with_previous(base, _ID, order, block, ["frame_idx", "cx", "cy"], "p").drop("__block")
-    two = with_previous(one, _ID, order, block, ["p"], "q").drop("__block")
+    one = with_previous(base, _ID, order, block, ["frame_idx", "cx", "cy"], "p")
+    two = with_previous(one, _ID, order, block, ["p"], "q")
     last, before = F.col("p"), F.col("q.p")
     dt, lead = F.greatest(F.lit(1), last["frame_idx"] - before["frame_idx"]), F.col("frame_idx") - last["frame_idx"]
     px = last["cx"] + (last["cx"] - before["cx"]) / dt * lead

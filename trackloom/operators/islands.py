@@ -9,32 +9,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.operators.ranking import block_offsets
 from trackloom.session import ship_package
 
 
-def _beside(df: DataFrame, blocks: DataFrame, parts: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Joins one-row-per-block ``names`` to the rows of the block, nulls equal."""
-    other = blocks.select(*[F.col(p).alias(f"__j{i}") for i, p in enumerate(parts)], *names)
-    on = F.lit(True)
-    for i, p in enumerate(parts):
-        on = on & F.col(p).eqNullSafe(F.col(f"__j{i}"))
-    return df.join(other, on).drop(*[f"__j{i}" for i in range(len(parts))])
+def _placed(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+    """Rows with ``__part``, the struct of ``keys`` and ``__block``, in its place; partitioned by it.
+
+    A struct is never null itself and equal structs have equal (also null) fields, so joins on it keep the partitioning, which
+    null-safe comparisons of the single keys would not.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    return df.select(F.struct(*keys, block.alias("__block")).alias("__part"), *rest).repartition(F.col("__part"))
+
+
+def _restored(df: DataFrame, columns: Sequence[str], keys: Sequence[str], *more: str) -> DataFrame:
+    return df.select(*[F.col(f"__part.{c}").alias(c) if c in keys else F.col(c) for c in columns], *more)
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, carried: Sequence[str], name: str = "prev") -> DataFrame:
     """Adds the struct ``name`` of the ``carried`` columns of the row before, by ``order`` within ``keys``; null for a first row.
 
     ``block`` must not decrease along ``order``. A task sees one block of a group; a block's first row takes the last row of the
-    block before from a table of one row per block. The column ``__block`` stays in the result.
+    block before from a table of one row per block. ``carried`` and ``order`` hold no keys.
     """
-    parts = [*keys, "__block"]
-    placed = df.withColumn("__block", block).repartition(*[F.col(p) for p in parts])
     row = F.struct(*carried)
-    within = placed.withColumn("__lag", F.lag(row).over(Window.partitionBy(*parts).orderBy(*order)))
-    last = placed.groupBy(*parts).agg(F.max_by(row, F.struct(*order)).alias("__last"))
-    before = last.withColumn("__edge", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__block")))
-    return _beside(within, before, parts, ["__edge"]).withColumn(name, F.coalesce("__lag", "__edge")).drop("__lag", "__edge")
+    placed = _placed(df, keys, block)
+    within = placed.withColumn("__lag", F.lag(row).over(Window.partitionBy("__part").orderBy(*order)))
+    last = placed.groupBy("__part").agg(F.max_by(row, F.struct(*order)).alias("__last"))
+    in_order = Window.partitionBy(*[F.col(f"__part.{k}") for k in keys]).orderBy("__part.__block")
+    before = last.select("__part", F.lag("__last").over(in_order).alias("__edge"))
+    joined = within.join(before, "__part").withColumn(name, F.coalesce("__lag", "__edge"))
+    return _restored(joined, df.columns, keys, name)
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, carried: Sequence[str], cut: Callable[[Column], Column], name: str = "island") -> DataFrame:
@@ -42,22 +47,23 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Col
 
     ``prev`` is the struct of ``carried`` columns of the row before; ``cut`` may use these and the same columns of the row. Rows are
     counted within blocks. One row per block tells its first and last row and its cuts; a window over these rows decides whether
-    a block's first row is a cut and how many islands lie before, so no task holds a whole group.
+    a block's first row is a cut and how many islands lie before, so no task holds a whole group. ``carried`` and ``order`` hold
+    no keys.
     """
-    parts = [*keys, "__block"]
     row, at = F.struct(*carried), F.struct(*order)
-    within = Window.partitionBy(*parts).orderBy(*order)
-    placed = df.withColumn("__block", block).repartition(*[F.col(p) for p in parts])
+    within = Window.partitionBy("__part").orderBy(*order)
+    placed = _placed(df, keys, block)
     local = placed.withColumn("__prev", F.lag(row).over(within)).withColumn("__cut", F.coalesce((F.col("__prev").isNotNull() & cut(F.col("__prev"))).cast("int"), F.lit(0)))
     counted = local.withColumn("__in", F.sum("__cut").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = local.groupBy(*parts).agg(F.sum("__cut").alias("__cuts"), F.min_by(row, at).alias("__first"), F.max_by(row, at).alias("__last"))
-    linked = blocks.withColumn("__prev", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__block"))).select(
-        *parts, "__cuts", "__prev", *[F.col(f"__first.{c}").alias(c) for c in carried if c not in parts]
-    )
+    blocks = local.groupBy("__part").agg(F.sum("__cut").alias("__cuts"), F.min_by(row, at).alias("__first"), F.max_by(row, at).alias("__last"))
+    groups = [F.col(f"__part.{k}") for k in keys]
+    linked = blocks.withColumn("__prev", F.lag("__last").over(Window.partitionBy(*groups).orderBy("__part.__block"))).select("__part", "__cuts", "__prev", *[F.col(f"__first.{c}").alias(c) for c in carried])
     opens = F.when(F.col("__prev").isNull(), 1).otherwise(F.coalesce(cut(F.col("__prev")).cast("int"), F.lit(0)))
+    before = Window.partitionBy(*groups).orderBy("__part.__block").rowsBetween(Window.unboundedPreceding, -1)
     sized = linked.withColumn("__opens", opens).withColumn("__n", F.col("__opens") + F.col("__cuts"))
-    offsets = block_offsets(sized, keys, "__block", ["__n"])
-    return _beside(counted, offsets, parts, ["__opens", "__n_before"]).withColumn(name, F.col("__in") + F.col("__opens") + F.col("__n_before")).drop("__in", "__opens", "__n_before", "__cut", "__prev", "__block")
+    offsets = sized.select("__part", (F.col("__opens") + F.coalesce(F.sum("__n").over(before), F.lit(0))).alias("__offset"))
+    joined = counted.join(offsets, "__part").withColumn(name, F.col("__in") + F.col("__offset"))
+    return _restored(joined, df.columns, keys, name)
 
 
 _ARROW = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}

@@ -8,14 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    """Equality of columns in which null equals null."""
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
-
-
 def block_offsets(blocks: DataFrame, keys: Sequence[str], block: str, sizes: Sequence[str]) -> DataFrame:
     """Adds ``<size>_before`` for each of ``sizes``: the sum over the group's earlier blocks.
 
@@ -31,15 +23,15 @@ def blocked_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], block
     ``block`` must not decrease along ``order`` within a group (a coarser form of its first column). Rows are ranked within
     their block; the number of rows of the earlier blocks is added. Nulls in ``keys`` form a group of their own.
     """
-    parts = [*keys, "__block"]
-    local = df.withColumn("__block", block).withColumn("__in", F.row_number().over(Window.partitionBy(*parts).orderBy(*order)))
-    sizes = local.groupBy(*parts).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = block_offsets(sizes, keys, "__block", ["__n"]).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(parts)], "__n_before")
-    on = F.lit(True)
-    for i, k in enumerate(parts):
-        on = on & local[k].eqNullSafe(offsets[f"__k{i}"])
-    joined = local.join(offsets, on)
-    return joined.select(*df.columns, (F.col("__n_before") + F.col("__in")).alias(name))
+    # One struct holds keys and block: joins on it keep the partitioning, and its null fields are equal.
+    rest = [c for c in df.columns if c not in keys]
+    placed = df.select(F.struct(*keys, block.alias("__block")).alias("__part"), *rest)
+    local = placed.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*[F.col(f"__part.{o}") if o in keys else F.col(o) for o in order])))
+    before = Window.partitionBy(*[F.col(f"__part.{k}") for k in keys]).orderBy("__part.__block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0).cast("bigint")).alias("__n_before"))
+    joined = local.join(offsets, "__part")
+    return joined.select(*[F.col(f"__part.{c}").alias(c) if c in keys else F.col(c) for c in df.columns], (F.col("__n_before") + F.col("__in")).alias(name))
 
 
 def at_index(df: DataFrame, keys: Sequence[str], value: str, block: Column, picks: dict) -> DataFrame:
