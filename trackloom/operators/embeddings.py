@@ -1,6 +1,6 @@
 """Vectors of observations (vec_id, embedding, label): neighbours, centroids, votes and galleries.
 
-A label stands for an identity. Its centroid is one row, so tables of centroids are small; sets of samples are bounded by ``most``.
+A label stands for an identity. Its centroid is one row, so tables of centroids are small; whole sets are compared block by block.
 """
 
 from __future__ import annotations
@@ -8,12 +8,13 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.vectors import cosine, dot, unit_vector
 from trackloom.operators.islands import fold_sorted
-from trackloom.session import broadcast_if_small
+from trackloom.session import broadcast_if_small, ship_package
 
 
 def _unit(vectors: DataFrame) -> DataFrame:
@@ -40,11 +41,66 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return means.select("label", "n", unit_vector(F.col("mean")).alias("centroid"))
 
 
-def sample_sets(vectors: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` unit vectors of each label (the first by vec_id) as an array."""
-    first = Window.partitionBy("label").orderBy("vec_id")
-    few = _unit(vectors).withColumn("r", F.row_number().over(first)).where(F.col("r") <= most)
-    return few.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda p: p["v"]).alias("vecs"))
+def _largest(values: np.ndarray, k: int) -> np.ndarray:
+    return values if len(values) <= k else np.partition(values, len(values) - k)[-k:]
+
+
+def _block_tops(a: tuple, b: tuple, k: int, rows: int = 512) -> list[tuple]:
+    """Of two blocks (labels in order, vec_ids, vectors), for each label of ``a`` below one of ``b``: the ``k`` best products (vec_id null)
+    and the ``k`` vectors of ``a`` with the best products."""
+    (labels, ids, v), (others, _, w), out = a, b, []
+    for label in np.unique(labels):
+        own, first = np.flatnonzero(labels == label), np.searchsorted(others, label, "right")
+        names, starts = np.unique(others[first:], return_index=True)
+        if not len(names):
+            continue
+        ends = [*starts[1:], len(others) - first]
+        tops, bests = [np.empty(0)] * len(names), []
+        for at in range(0, len(own), rows):
+            products = v[own[at : at + rows]] @ w[first:].T
+            tops = [_largest(np.append(t, _largest(products[:, s:e].ravel(), k)), k) for t, s, e in zip(tops, starts, ends)]
+            bests.append(np.maximum.reduceat(products, starts, axis=1))
+        best = np.concatenate(bests)
+        for n, other in enumerate(names):
+            out += [(int(label), int(other), None, float(d)) for d in tops[n]]
+            out += [(int(label), int(other), int(ids[own[r]]), float(best[r, n])) for r in np.argsort(-best[:, n], kind="stable")[:k]]
+    return out
+
+
+def set_similarity(vectors: DataFrame, k: int = 6, block: int = 4096) -> DataFrame:
+    """Every two labels by all their vectors: a < b, ``topk`` (mean of the ``k`` best of all products between the two sets) and
+    ``best_topk`` (each vector of a with its best of b; mean of the ``k`` best of these).
+
+    Vectors fall into blocks of about ``block`` by a hash; every two blocks meet in one task, which hands on ``k`` values of each
+    label pair. A vector with a missing component has no cosine; vectors of different lengths are not compared.
+    """
+    known = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))
+    rows = _unit(vectors).where(F.col("label").isNotNull() & known).select("vec_id", F.col("label").cast("bigint").alias("label"), "v")
+    blocks = max(1, -(-rows.count() // block))
+    mine = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    pair = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    spread = rows.withColumn("block", mine).withColumn("with", pair)
+    placed = spread.select(F.size("v").alias("length"), F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "label", "vec_id", "v")
+
+    def tops(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("label", "ascending"), ("vec_id", "ascending")])
+        n = table.num_rows
+        of, label, ids = (table[c].to_numpy() for c in ("block", "label", "vec_id"))
+        v = table["v"].combine_chunks().flatten().to_numpy().reshape(n, -1)
+        parts = [(label[of == x], ids[of == x], v[of == x]) for x in np.unique(of)]
+        same = table["i"][0].as_py() == table["j"][0].as_py()
+        found = [x for p in parts for q in parts if same or p is not q for x in _block_tops(p, q, k)]
+        return pa.table({c: pa.array([x[m] for x in found], t) for m, (c, t) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("vec_id", pa.int64()), ("d", pa.float64())))})
+
+    ship_package(vectors.sparkSession)
+    few = placed.groupBy("length", "i", "j").applyInArrow(tops, "a bigint, b bigint, vec_id bigint, d double").repartition("a", "b")
+    # Products have no vec_id; of a vector only its best product counts.
+    once = F.row_number().over(Window.partitionBy("a", "b", "vec_id").orderBy(F.desc("d")))
+    single = few.withColumns({"single": F.col("vec_id").isNull(), "o": once}).where("single OR o = 1")
+    ranked = single.withColumn("r", F.row_number().over(Window.partitionBy("a", "b", "single").orderBy(F.desc("d")))).where(F.col("r") <= k)
+    mean = lambda single: F.round(F.avg(F.when(F.col("single") == single, F.col("d"))), 6)
+    kind = vectors.schema["label"].dataType
+    return ranked.groupBy("a", "b").agg(mean(True).alias("topk"), mean(False).alias("best_topk")).select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "topk", "best_topk")
 
 
 def centroid_votes(vectors: DataFrame) -> DataFrame:

@@ -124,9 +124,7 @@ def centroids(spark, d):
 
 
 def topk_set_similarity(spark, d):
-    sets = embeddings.sample_sets(Tables(spark, d).embeddings, 24)
-    a, b = sets.select(F.col("label").alias("a"), F.col("vecs").alias("va")), sets.select(F.col("label").alias("b"), F.col("vecs").alias("vb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(v.top_similarity(F.col("va"), F.col("vb"), 6), 6).alias("topk"), F.round(v.top_of_best(F.col("va"), F.col("vb"), 6), 6).alias("best_topk"))
+    return embeddings.set_similarity(Tables(spark, d).embeddings, 6)
 
 
 def anchor_votes(spark, d):
