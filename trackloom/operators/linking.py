@@ -141,6 +141,14 @@ def stitch_edges(tracklets: DataFrame, least: float = 0.66, most_gap: int = 360)
     return pairs.select("clip_id", F.col("p_tracklet_id").alias("a"), F.col("c_tracklet_id").alias("b"), "gap", "score")
 
 
+def merge_edges(tracklets: DataFrame, least: float = 0.78, most_gap: int = 2200) -> DataFrame:
+    """Every pair of stretches 0 to ``most_gap`` frames apart whose score is at least ``least``; neither a number of predecessors nor
+    the gates and penalties of re-entry hold here. The score is that of ``reentry_scores``."""
+    other = F.col("p_tracklet_id") != F.col("c_tracklet_id")  # a stretch of one frame ends where it starts
+    pairs = candidate_pairs(tracklets, 0, most_gap).where(other).withColumn("side", side_score(F.col("p_exit_side"), F.col("c_entry_side")))
+    return reentry_scores(pairs).where(F.col("score") >= least).select("clip_id", F.col("p_tracklet_id").alias("a"), F.col("c_tracklet_id").alias("b"), "gap", "score")
+
+
 def local_consistency(tracklets: DataFrame) -> DataFrame:
     """Every local track takes the identity that most of its boxes have (the lower one of equals)."""
     votes = tracklets.where("local_track_id IS NOT NULL AND final_gid IS NOT NULL").groupBy("clip_id", "local_track_id", "final_gid").agg(F.sum("num_rows").alias("votes"))

@@ -45,8 +45,7 @@ def stitch(spark, d):
 def group_merge(spark, d):
     t = Tables(spark, d).tracklets
     nodes = t.select("clip_id", F.col("tracklet_id").alias("node"), "start_frame", "end_frame")
-    ranked = _ranked(spark, d).where("final >= 0.78")
-    return matching.constrained_union(nodes, ranked.select("clip_id", F.col("p_tracklet_id").alias("a"), F.col("c_tracklet_id").alias("b"), F.round("final", 9).alias("score")))
+    return matching.constrained_union(nodes, linking.merge_edges(t).select("clip_id", "a", "b", F.round("score", 9).alias("score")))
 
 
 def local_consistency(spark, d):
