@@ -37,6 +37,7 @@ class _Claims:
         self.votes: dict[int, dict[int, int]] = {}
         self.open: list[tuple[int, int, int, int]] = []
         self.highest = 0
+        self.target, self.told = None, []
 
     def _fits(self, reference: int, start: int, end: int) -> bool:
         return all(min(end, e) - max(start, s) + 1 <= self.rules.overlap for s, e in self.spans.get(reference, ()))
@@ -45,30 +46,60 @@ class _Claims:
         self.spans.setdefault(reference, []).append((start, end))
 
     def step(self, row):
-        r = self.rules
-        target, source, start, end = int(row.target), int(row.source or 0), int(row.start_frame), int(row.end_frame)
-        self.highest = max(self.highest, int(row.top_reference or 0))
-        options = [(float(o["score"]), int(o["ref"])) for o in (row.options if row.options is not None else [])]
-        best = options[0][0] if options else -1.0
-        lead = best - (options[1][0] if len(options) > 1 else -1.0)
+        """A target with one reference (null if none); a target's references come from the best score down."""
+        if self.target != row.target:
+            self._settle()
+            self.target, self.sure, self.held, self.given = int(row.target), None, None, None
+            self.source, self.start, self.stop, self.n_rows = int(row.source or 0), int(row.start_frame), int(row.end_frame), int(row.n_rows or 0)
+            self.highest = max(self.highest, int(row.top_reference or 0))
+        if row.ref is not None and self.given is None and self.sure is not False:
+            score, reference = float(row.score), int(row.ref)
+            if self.held is None:
+                self.held = (score, reference)
+            else:
+                if self.sure is None:
+                    self._judge(score)
+                self._try(score, reference)
+        return self._told()
+
+    def _judge(self, second: float) -> None:
+        """Whether the best reference leads enough for this target to claim one; if so, the best is tried."""
+        r, best = self.rules, self.held[0]
         need = r.margin if best < r.strong else r.margin / 2
-        if best >= r.least and (lead >= need or best >= r.sure):
-            for score, reference in options:
-                if score < r.least:
-                    break
-                known = self.of_reference.setdefault(reference, set())
-                if not self._fits(reference, start, end) or (source > 0 and source not in known and len(known) >= r.sources):
-                    continue
-                self._take(reference, start, end)
-                if source > 0:
-                    known.add(source)
-                    votes = self.votes.setdefault(source, {})
-                    votes[reference] = votes.get(reference, 0) + max(1, int(row.n_rows or 0))
-                yield (*self.key, target, reference, "claimed")
-                return
-        self.open.append((start, target, source, end))
+        self.sure = best >= r.least and (best - second >= need or best >= r.sure)
+        self._try(*self.held)
+
+    def _try(self, score: float, reference: int) -> None:
+        if not self.sure or self.given is not None or score < self.rules.least:
+            return
+        known = self.of_reference.setdefault(reference, set())
+        if not self._fits(reference, self.start, self.stop) or (self.source > 0 and self.source not in known and len(known) >= self.rules.sources):
+            return
+        self._take(reference, self.start, self.stop)
+        if self.source > 0:
+            known.add(self.source)
+            votes = self.votes.setdefault(self.source, {})
+            votes[reference] = votes.get(reference, 0) + max(1, self.n_rows)
+        self.given = reference
+
+    def _settle(self) -> None:
+        """The target before is complete: a lone reference is judged, and a target that claimed none waits for ``end``."""
+        if self.target is None:
+            return
+        if self.held is not None and self.sure is None:
+            self._judge(-1.0)
+        if self.given is None:
+            self.open.append((self.start, self.target, self.source, self.stop))
+        else:
+            self.told.append((*self.key, self.target, self.given, "claimed"))
+
+    def _told(self) -> list[tuple]:
+        told, self.told = self.told, []
+        return told
 
     def end(self):
+        self._settle()
+        yield from self._told()
         for start, target, source, end in sorted(self.open):
             votes = self.votes.get(source) if source > 0 else None
             reference = min(votes, key=lambda v: (-votes[v], v)) if votes else None
@@ -82,14 +113,12 @@ class _Claims:
 
 def claimed(targets: DataFrame, scores: DataFrame, rules: ClaimRules = ClaimRules()) -> DataFrame:
     """References for targets (clip_id, target, source, n_rows, start_frame, end_frame) by scores (clip_id, target, ref, score):
-    clip_id, target, identity, how. Several targets may have one reference if they do not overlap in time."""
-    entry = F.struct((-F.col("score")).alias("minus"), F.col("ref"), F.col("score"))
-    best = Window.partitionBy("clip_id", "target").orderBy(F.desc("score"), "ref")
-    few = scores.withColumn("r", F.row_number().over(best)).where("r <= 8")
-    options = few.groupBy("clip_id", "target").agg(F.array_sort(F.collect_list(entry)).alias("options"))
+    clip_id, target, identity, how. Several targets may have one reference if they do not overlap in time. Every reference of score
+    ``least`` or more is tried, from the best down."""
     top = scores.groupBy("clip_id").agg(F.max("ref").alias("top_reference"))
-    rows = targets.join(options, ["clip_id", "target"], "left").join(top, "clip_id", "left").withColumn("less", -F.col("n_rows"))
-    return fold_sorted(rows, ["clip_id"], ["less", "target"], lambda key: _Claims(key, rules), "clip_id string, target bigint, identity bigint, how string")
+    rows = targets.join(scores.select("clip_id", "target", "ref", "score"), ["clip_id", "target"], "left").join(top, "clip_id", "left")
+    ordered = rows.withColumns({"less": -F.col("n_rows"), "minus": -F.col("score")})
+    return fold_sorted(ordered, ["clip_id"], ["less", "target", "minus", "ref"], lambda key: _Claims(key, rules), "clip_id string, target bigint, identity bigint, how string")
 
 
 def anchor_evidence(targets: DataFrame, references: DataFrame) -> DataFrame:
