@@ -83,7 +83,7 @@ def person_summary(spark, d):
 
 def person_fallback(spark, d):
     t = Tables(spark, d)
-    return kpi.person_fallback(visits_view(t).where("clip_id < 's05'"), tracks_view(t))
+    return kpi.person_fallback(visits_view(t), tracks_view(t))
 
 
 def export_person_summary(spark, d):
@@ -128,9 +128,9 @@ def all_cameras(spark, d):
 
 
 def union_cameras(spark, d):
-    v = visits_view(Tables(spark, d))
-    parts = [v.where(F.col("camera") == c).select(F.lit(c).alias("source"), "id", "global_id") for c in ("cam_01", "cam_02", "cam_03")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    t = Tables(spark, d)
+    known = visits_view(t).join(cameras_view(t).select("camera"), "camera", "left_semi")
+    return known.select(F.col("camera").alias("source"), "id", "global_id")
 
 
 def meta_groups(spark, d):
