@@ -132,13 +132,24 @@ def cleaned_prototypes(vectors: DataFrame, slack: float = 0.05) -> DataFrame:
 
 
 def part_similarity(vectors: DataFrame, weights: tuple[float, ...] = (0.4, 0.3, 0.2, 0.1)) -> DataFrame:
-    """Weighted cosine of the quarters of successive vectors, less a penalty where the quarters disagree."""
-    parts = _unit(vectors).select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("v", i * 16 + 1, 16)).alias("p"))
-    other = parts.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q"))
-    both = parts.join(other, "vec_id").withColumn("s", F.zip_with("p", "q", lambda a, b: cosine(a, b)))
-    score = sum((w * F.col("s")[i] for i, w in enumerate(weights[1:], 1)), weights[0] * F.col("s")[0])
-    apart = F.greatest(F.array_max("s") - F.array_min("s") - 0.5, F.lit(0.0))
-    return both.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), F.round(score - 0.2 * apart, 6).alias("similarity"))
+    """Every two labels (a < b) by the parts of their centroids, one part of equal size for each weight: the weighted cosine of the
+    parts that both have, the weights scaled to these, less a penalty where the parts disagree; and how many parts both have.
+
+    A part of zeros is missing. Labels with no part in common, or of different lengths, have 0 of 0 parts.
+    """
+    n = F.size("centroid")
+    edge = lambda i: F.floor(i * n / len(weights)).cast("int")
+    profiles = centroids(vectors).select("label", F.array(*[F.slice("centroid", edge(F.lit(i)) + 1, edge(F.lit(i + 1)) - edge(F.lit(i))) for i in range(len(weights))]).alias("p"), n.alias("n"))
+    a = profiles.select(F.col("label").alias("a"), F.col("p").alias("pa"), F.col("n").alias("na"))
+    b = broadcast_if_small(profiles.select(F.col("label").alias("b"), F.col("p").alias("pb"), F.col("n").alias("nb")))
+    alike = F.when(F.col("na") == F.col("nb"), F.zip_with("pa", "pb", lambda x, y: cosine(x, y, None)))
+    both = a.join(b, F.col("a") < F.col("b")).withColumn("s", F.coalesce(alike, F.array().cast("array<double>")))
+    weighed = F.zip_with("s", F.array(*[F.lit(w) for w in weights]), lambda s, w: F.when(s.isNotNull(), F.struct(s.alias("s"), w.alias("w"))))
+    known = both.withColumn("k", F.filter(weighed, lambda x: x.isNotNull()))
+    total = lambda value: F.aggregate("k", F.lit(0.0), lambda t, x: t + value(x))
+    apart = F.greatest(F.array_max("k.s") - F.array_min("k.s") - 0.5, F.lit(0.0))
+    score = F.when(F.size("k") > 0, total(lambda x: x["w"] * x["s"]) / total(lambda x: x["w"]) - 0.2 * apart).otherwise(0.0)
+    return known.select("a", "b", F.round(score, 6).alias("similarity"), F.size("k").cast("bigint").alias("n_parts"))
 
 
 class _Gallery:
