@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.llm.quality import CHUNK, STATISTICS, CommonWords, _chunks, _cut, document_statistics, fit_tails, in_tails, language_sketches, merged_sketches, prose_scores, sketch_quantiles, text_statistics, word_counts
+from trackloom.llm.quality import STATISTICS, CommonWords, document_statistics, fit_tails, in_tails, language_sketches, merged_sketches, prose_scores, sketch_quantiles, text_statistics, word_counts
+from trackloom.llm.words import CHUNK, chunks, cut
 
 EN = ["We saw that the count was not right because it had been cut too early.", "Nobody could say how the ladder got in front of the door, but it was there for an hour.", "If they come back before noon, we will look at it again with the whole team."]
 DE = ["Wir haben die Liste noch einmal angesehen, weil sie nicht ganz stimmte.", "Am Ende war es ruhig, aber niemand weiß, ob das auch so bleibt."]
@@ -68,7 +69,7 @@ def words_of(*languages):
 
 
 def tokens(text):
-    c = _cut([text])
+    c = cut([text])
     return [c.text[a:b] for a, b in zip(c.starts, c.stops)]
 
 
@@ -90,7 +91,7 @@ def test_words_are_cut_as_plainly_written():
     han = "㐀-䶿一-鿿豈-﫿"
     plain = re.compile(rf"[{han}]|[^\W_{han}]+(?:['’\-_][^\W_{han}]+)*")
     texts = ["".join(rng.choice("ab'-_ \n.9é中文ＡＢﬁ\u00ad’") for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["", "a", "-", "中"]
-    c = _cut(texts)
+    c = cut(texts)
     for i, text in enumerate(texts):
         wanted = plain.findall(unicodedata.normalize("NFKC", text).casefold())
         assert [c.text[a:b] for a, b, o in zip(c.starts, c.stops, c.owner) if o == i] == wanted, text
@@ -102,7 +103,7 @@ def test_chunks_do_not_matter():
     rng = random.Random(6)
     texts = [prose(rng) if k % 2 else other(rng) for k in range(60)] + ["", " ", "x" * (CHUNK + 5), "!"]
     common = words_of(EN, DE, MS, ZH)
-    together = [text_statistics(texts[a:b], common) for a, b in _chunks(texts)]
+    together = [text_statistics(texts[a:b], common) for a, b in chunks(texts)]
     assert len(together) > 1
     alone = [text_statistics([t], common) for t in texts]
     assert [x for part, _ in together for x in part.tolist()] == [x for part, _ in alone for x in part.tolist()]

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache, cached_property, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.spread import spread
+from trackloom.llm.words import BLANK, BREAK, DIGIT, END, HAN, HASH_BITS, JOIN, Chunk, HashTable, chunks, counted, cut
 from trackloom.session import durable
 
 #: Statistics that need no words; their tails tell the body of a corpus, whose common words are then learnt.
@@ -66,117 +66,6 @@ class QualityRules:
 
 #: Bound of robust scores, and words that a task counts before it hands them on.
 LIMIT, MOST_HELD = 100.0, 500_000
-#: Characters of texts that are measured together; a longer text is measured alone, as a whole.
-CHUNK = 1 << 18
-_LETTER, _DIGIT, _HAN, _BLANK, _BREAK, _JOIN, _END = 1, 2, 4, 8, 16, 32, 64
-# Signs that may join two parts of a word, and signs that may end a line of prose.
-_JOINS = "'’-_"
-_ENDS = ".!?…。！？:;\"'”’»)“"
-
-
-@cache
-def _classes() -> np.ndarray:
-    """Classes of every code point, as bits."""
-    kinds = np.zeros(0x110000, np.uint8)
-    for code in range(0x110000):
-        c = chr(code)
-        if c.isalnum():
-            kinds[code] = _LETTER | (_DIGIT if c in "0123456789" else 0)
-        elif c.isspace():
-            kinds[code] = _BLANK
-    for low, high in ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00)):
-        kinds[low:high] |= _HAN | _LETTER
-    for c in "\n\r\x0b\x0c\x1c\x1d\x1e\x85  ":
-        kinds[ord(c)] = _BLANK | _BREAK
-    for bit, signs in ((_JOIN, _JOINS), (_END, _ENDS)):
-        for c in signs:
-            kinds[ord(c)] |= bit
-    return kinds
-
-
-@dataclass
-class _Chunk:
-    """Several texts in one: code points and their classes, and the words by start, stop and owner. Line breaks stand between texts."""
-
-    text: str
-    points: np.ndarray
-    kinds: np.ndarray
-    first: np.ndarray
-    starts: np.ndarray
-    stops: np.ndarray
-    owner: np.ndarray
-
-    @cached_property
-    def hashes(self) -> np.ndarray:
-        return _word_hashes(self.points, self.starts, self.stops)
-
-    @cached_property
-    def blanks(self) -> np.ndarray:
-        """Blank characters before each place."""
-        out = np.zeros(len(self.kinds) + 1, np.int64)
-        np.cumsum((self.kinds & _BLANK) > 0, out=out[1:])
-        return out
-
-    def surface(self) -> tuple[np.ndarray, np.ndarray]:
-        """(SURFACE by text, visible characters by text)."""
-        n_texts = len(self.first) - 1
-        shown = np.maximum(1, np.diff(self.first) - np.diff(self.blanks[self.first]))
-        n = np.bincount(self.owner, minlength=n_texts)
-        within = np.bincount(self.owner, (self.stops - self.starts).astype(float), n_texts)
-        digits = np.diff(np.searchsorted(np.flatnonzero(self.kinds & _DIGIT), self.first))
-        return np.stack([np.where(n > 0, 1 - within / shown, 1.0), digits / shown, within / np.maximum(1, n)], axis=1), shown
-
-
-#: Bits of a word's hash that stand beside the number of its text in one sort key.
-_HASH_BITS = 44
-
-
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
-    base = 0x9E3779B97F4A7C15
-    back = pow(base, -1, 1 << 64)
-    return tuple(np.cumprod(np.full(n, x, np.uint64)) for x in (base, back))  # type: ignore[return-value]
-
-
-@cache
-def _codes() -> np.ndarray:
-    return np.random.default_rng(11).integers(1, 1 << 63, 0x110000, dtype=np.uint64)
-
-
-def _word_hashes(points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word, without a look at single words: differences of a sum of weighted codes, shifted to a common place."""
-    up, down = _powers(1 << max(12, len(points).bit_length()))
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(_codes()[points] * up[: len(points)], out=sums[1:])
-    mixed = (sums[stops] - sums[starts]) * down[starts]
-    mixed ^= mixed >> np.uint64(31)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return mixed ^ (mixed >> np.uint64(29))
-
-
-def _cut(texts: list[str]) -> _Chunk:
-    """Words are runs of letters and digits (joined by an apostrophe, hyphen or underscore) and single Han characters."""
-    normal = [(t if t.isascii() else unicodedata.normalize("NFKC", t)).casefold() for t in texts]
-    first = np.cumsum([0, *(len(t) + 1 for t in normal)])
-    text = "\n".join([*normal, ""])
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = _classes()[points]
-    part = np.zeros(len(kinds) + 2, bool)
-    spelt = part[1:-1]
-    np.equal(kinds & (_LETTER | _HAN), _LETTER, out=spelt)
-    joins = np.flatnonzero(kinds & _JOIN)
-    joins = joins[part[joins] & part[joins + 2]]
-    spelt[joins] = True
-    edges = np.flatnonzero(part[1:] != part[:-1])
-    starts, stops = edges[::2], edges[1::2]
-    alone = np.flatnonzero(kinds & _HAN)
-    if len(alone):
-        starts, stops = np.concatenate([starts, alone]), np.concatenate([stops, alone + 1])
-        order = np.argsort(starts, kind="stable")
-        starts, stops = starts[order], stops[order]
-    owner = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, first)))
-    return _Chunk(text, points, kinds, first, starts, stops, owner)
 
 
 class CommonWords:
@@ -184,42 +73,15 @@ class CommonWords:
 
     def __init__(self, words: dict[str, int]):
         self.languages = max(words.values(), default=-1) + 1
-        spelt = list(words)
-        c = _cut(spelt)
-        keys, bits = c.hashes[np.unique(c.owner, return_index=True)[1]] if spelt else np.zeros(0, np.uint64), 20
-        while len(np.unique(keys >> np.uint64(64 - bits))) < len(np.unique(keys)):
-            bits += 1
-        self.shift = np.uint64(64 - bits)
-        self.keys, self.of = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int16)
-        self.keys[keys >> self.shift] = keys
-        self.of[keys >> self.shift] = np.fromiter(words.values(), np.int16, len(spelt))
+        c = cut(list(words))
+        self.table = HashTable(c.hashes[np.unique(c.owner, return_index=True)[1]], np.fromiter(words.values(), np.int32, len(words)))
 
     def language(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word's language, -1 for other words."""
-        slot = hashes >> self.shift
-        return np.where(self.keys[slot] == hashes, self.of[slot], np.int16(-1))
+        return self.table.find(hashes)
 
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and how often each occurs; by sorting, which is faster here than hashing."""
-    keys = np.sort(keys)
-    news = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[news], np.diff(np.append(news, len(keys)))
-
-
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Slices of ``texts`` of about CHUNK characters."""
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
-            yield begin, i
-            begin, size = i, 0
-        size += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
-def _running(chunk: _Chunk, common: np.ndarray, is_han: np.ndarray, by_text: np.ndarray, r: QualityRules) -> np.ndarray:
+def _running(chunk: Chunk, common: np.ndarray, is_han: np.ndarray, by_text: np.ndarray, r: QualityRules) -> np.ndarray:
     """Words from the first to the last common word of some window that holds ``dense`` of them.
 
     A text shorter than a window needs proportionally fewer. ``is_han``: texts mostly of Han characters; ``by_text``: words of each text.
@@ -247,25 +109,25 @@ def text_statistics(texts: list[str], words: CommonWords, rules: QualityRules =
     too long for a word does not run.
     """
     r, n_texts = rules, len(texts)
-    c = _cut(texts)
+    c = cut(texts)
     sums = lambda of, weight=None: np.bincount(of, weight, n_texts)
     surface, some = c.surface()
     blanks = c.blanks
 
     # Lines: the last visible character of each line that has one. Every text ends with a break.
-    seen = np.flatnonzero((c.kinds & _BLANK) == 0)
-    breaks = np.flatnonzero(c.kinds & _BREAK)
+    seen = np.flatnonzero((c.kinds & BLANK) == 0)
+    breaks = np.flatnonzero(c.kinds & BREAK)
     before = breaks - blanks[breaks]
     ends = seen[before[before > np.concatenate([[0], before[:-1]])] - 1]
     of_line = np.searchsorted(c.first, ends, "right") - 1
     lines = np.maximum(1, np.bincount(of_line, minlength=n_texts))
-    punctuated = np.bincount(of_line, ((c.kinds[ends] & _END) > 0).astype(float), n_texts)
+    punctuated = np.bincount(of_line, ((c.kinds[ends] & END) > 0).astype(float), n_texts)
 
     n = sums(c.owner)
     many = np.maximum(1, n)
     lang = words.language(c.hashes)
-    keys, times = _counted((c.owner.astype(np.uint64) << np.uint64(_HASH_BITS)) | (c.hashes >> np.uint64(64 - _HASH_BITS)))
-    of_key = (keys >> np.uint64(_HASH_BITS)).astype(np.int64)
+    keys, times = counted((c.owner.astype(np.uint64) << np.uint64(HASH_BITS)) | (c.hashes >> np.uint64(64 - HASH_BITS)))
+    of_key = (keys >> np.uint64(HASH_BITS)).astype(np.int64)
     distinct = np.bincount(of_key, minlength=n_texts)
     top = np.zeros(n_texts)
     np.maximum.at(top, of_key, times)
@@ -276,7 +138,7 @@ def text_statistics(texts: list[str], words: CommonWords, rules: QualityRules =
     language = np.where(votes.max(axis=1) >= np.maximum(2, 0.05 * n), best, -1)
 
     length = c.stops - c.starts
-    is_han_word = (c.kinds[c.starts] & _HAN) > 0
+    is_han_word = (c.kinds[c.starts] & HAN) > 0
     is_han = 2 * sums(c.owner, is_han_word.astype(float)) > n
     following = np.append(c.starts[1:], len(c.text))
     reach = np.minimum(np.minimum(c.stops + r.signs, following), c.first[c.owner + 1] - 1)
@@ -310,8 +172,8 @@ def surface_statistics(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_pylist()
-            for begin, end in _chunks(values):
-                columns = _cut(values[begin:end]).surface()[0]
+            for begin, end in chunks(values):
+                columns = cut(values[begin:end]).surface()[0]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(begin, end - begin), *(pa.array(np.ascontiguousarray(columns[:, i])) for i in range(len(SURFACE)))], names=["language", *SURFACE])
 
     return spread(texts.select("text", "language")).mapInArrow(run, "language string, " + ", ".join(f"{s} double" for s in SURFACE))
@@ -393,8 +255,8 @@ def word_counts(texts: DataFrame, scales: dict[str, tuple[np.ndarray, np.ndarray
             values, languages = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             names = [(language, side) for language in dict.fromkeys(languages) for side in ("body", "tail")]
             number_of = {language: 2 * i for i, language in enumerate(dict.fromkeys(languages))}
-            for begin, end in _chunks(values):
-                c = _cut(values[begin:end])
+            for begin, end in chunks(values):
+                c = cut(values[begin:end])
                 scale = [scales.get(language, default) for language in languages[begin:end]]
                 z = np.abs(c.surface()[0] - np.stack([m for m, _ in scale])) / np.stack([d for _, d in scale])
                 far = z.max(axis=1)
@@ -403,19 +265,19 @@ def word_counts(texts: DataFrame, scales: dict[str, tuple[np.ndarray, np.ndarray
                 for g, n in zip(*(x.tolist() for x in np.unique(group_of[used], return_counts=True))):
                     held[(*names[g], None)] += n
                 # Digits and joined parts make no common word; their texts count all the same.
-                odd = np.concatenate([[0], np.cumsum((c.kinds & (_DIGIT | _JOIN)) > 0, dtype=np.int32)])
+                odd = np.concatenate([[0], np.cumsum((c.kinds & (DIGIT | JOIN)) > 0, dtype=np.int32)])
                 spelt = np.flatnonzero((odd[c.stops] == odd[c.starts]) & (c.stops - c.starts <= rules.longest_word) & used[c.owner])
-                short = c.hashes[spelt] >> np.uint64(64 - _HASH_BITS)
-                once = _counted((c.owner[spelt].astype(np.uint64) << np.uint64(_HASH_BITS)) | short)[0]
-                group = group_of[once >> np.uint64(_HASH_BITS)]
-                mask = np.uint64((1 << _HASH_BITS) - 1)
-                keys, counts = _counted((group << np.uint64(_HASH_BITS)) | (once & mask))
-                distinct = _counted(keys & mask)[0]
+                short = c.hashes[spelt] >> np.uint64(64 - HASH_BITS)
+                once = counted((c.owner[spelt].astype(np.uint64) << np.uint64(HASH_BITS)) | short)[0]
+                group = group_of[once >> np.uint64(HASH_BITS)]
+                mask = np.uint64((1 << HASH_BITS) - 1)
+                keys, counts = counted((group << np.uint64(HASH_BITS)) | (once & mask))
+                distinct = counted(keys & mask)[0]
                 place = np.zeros(len(distinct), np.int64)
                 place[np.searchsorted(distinct, short)] = spelt
                 words = [c.text[a:b] for a, b in zip(c.starts[place].tolist(), c.stops[place].tolist())]
                 number = np.searchsorted(distinct, keys & mask).tolist()
-                for g, i, count in zip((keys >> np.uint64(_HASH_BITS)).tolist(), number, counts.tolist()):
+                for g, i, count in zip((keys >> np.uint64(HASH_BITS)).tolist(), number, counts.tolist()):
                     held[(*names[g], words[i])] += count
                 if len(held) > MOST_HELD:
                     yield flushed()
@@ -479,7 +341,7 @@ def document_statistics(documents: DataFrame, rules: QualityRules = QualityRules
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(1).to_pylist()
-            for begin, end in _chunks(values):
+            for begin, end in chunks(values):
                 language, columns = text_statistics(values[begin:end], number, rules)
                 seen = [names[i] if i >= 0 else None for i in language.tolist()]
                 yield pa.RecordBatch.from_arrays(
