@@ -332,7 +332,7 @@ def document_statistics(documents: DataFrame, rules: QualityRules = QualityRules
     texts = texts.withColumn("language", F.when(F.col("language").isin(known), F.col("language")).otherwise("other")) if known else texts.withColumn("language", F.lit("other"))
     scales = {
         row["language"]: tuple(np.array([row[f"{s}_{c}"] for s in SURFACE], float) for c in ("mid", "dev"))
-        for row in language_scales(language_sketches(surface_statistics(texts), SURFACE, rules.growth), SURFACE, rules).collect()  # a row per known language
+        for row in language_scales(durable(language_sketches(surface_statistics(texts), SURFACE, rules.growth)), SURFACE, rules).collect()  # a row per known language
     }
     words = common_words(word_counts(texts, scales, rules), rules)
     names = sorted(set(words.values()))
