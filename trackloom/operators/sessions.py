@@ -20,7 +20,7 @@ def presence_sessions(tracks: DataFrame, gap_ms: int = GAP_MS, block_ms: int = B
     Method, start-end pairing. Boxes are cut into (track, time block); a box within ``gap_ms`` of a block's edge also goes to
     the neighbour as a halo row. RANGE frames over whole milliseconds find the boxes without a box in the ``gap_ms`` before
     them (starts) and after them (ends). Starts and ends are numbered separately, within the block and then by the block's
-    offset within its track, and equal ranks are joined. The number of boxes is the difference of the two boxes' own ranks.
+    offset within its track, and equal ranks are brought together. The number of boxes is the difference of the two boxes' own ranks.
     No task holds more of a track than one block; the window over a whole track sees one row per block.
 
     Defined cases: rows with a null, NaN or infinite ``ts`` and rows with ``global_id`` null or not positive form no session;
@@ -64,28 +64,10 @@ def presence_sessions(tracks: DataFrame, gap_ms: int = GAP_MS, block_ms: int = B
     sized = blocks.withColumns({"n_starts": F.size("starts").cast("bigint"), "n_ends": F.size("ends").cast("bigint")})
     placed_blocks = block_offsets(sized, track, "block", ["boxes", "n_starts", "n_ends"])
 
-    def ranked(points: str, before: str, rank, side: str) -> DataFrame:
-        rows = placed_blocks.select(*track, "boxes_before", before, F.posexplode(points).alias("pos", "p"))
-        return rows.select(
-            F.col("clip_id").alias(f"{side}_clip"),
-            F.col("global_id").alias(f"{side}_gid"),
-            (F.col(before) + F.col("pos")).alias(f"{side}_rank"),
-            F.col("p.ms").alias(f"{side}_ms"),
-            (F.col("boxes_before") + rank).alias(f"{side}_box"),
-        )
-
-    starts = ranked("starts", "n_starts_before", F.col("p.rank_in") - F.col("p.n"), "start")
-    ends = ranked("ends", "n_ends_before", F.col("p.rank_in"), "end")
-    pair = (
-        F.col("start_clip").eqNullSafe(F.col("end_clip"))
-        & (F.col("start_gid") == F.col("end_gid"))
-        & (F.col("start_rank") == F.col("end_rank"))
-    )
-    return starts.join(ends, pair).select(
-        F.col("start_clip").alias("clip_id"),
-        F.col("start_gid").alias("global_id"),
-        "start_ms",
-        "end_ms",
-        (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"),
-        (F.col("end_box") - F.col("start_box")).alias("n_boxes"),
-    )
+    # Starts and ends of equal rank meet in one aggregation, most of them before it shuffles.
+    none = F.lit(None).cast("bigint")
+    start = lambda p, i: F.struct((F.col("n_starts_before") + i).alias("rank"), p["ms"].alias("start_ms"), (F.col("boxes_before") + p["rank_in"] - p["n"]).alias("start_box"), none.alias("end_ms"), none.alias("end_box"))
+    end = lambda p, i: F.struct((F.col("n_ends_before") + i).alias("rank"), none.alias("start_ms"), none.alias("start_box"), p["ms"].alias("end_ms"), (F.col("boxes_before") + p["rank_in"]).alias("end_box"))
+    ranked = placed_blocks.select(*track, F.explode(F.concat(F.transform("starts", start), F.transform("ends", end))).alias("p"))
+    pairs = ranked.groupBy(*track, "p.rank").agg(*[F.max(f"p.{c}").alias(c) for c in ("start_ms", "start_box", "end_ms", "end_box")])
+    return pairs.select(*track, "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), (F.col("end_box") - F.col("start_box")).alias("n_boxes"))
