@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from trackloom.operators.spikes import SpikeRules, box_faults
+from trackloom.operators.spikes import SpikeRules, _judge, box_faults
 
 SCHEMA = "id bigint, clip_id string, global_id bigint, frame_idx bigint, camera_id string, x1 double, y1 double, x2 double, y2 double, frame string, part bigint"
 
@@ -100,3 +101,32 @@ def test_blocks_do_not_change_the_result(spark, block):
     rows += walk(50, gid=2, first_id=5000)
     want = {"spike": [7, 8, 100, 101, 102, 255, 256, 459], "stuck": list(range(300, 340))}
     assert run(spark, rows, SpikeRules(block=block)) == want
+
+
+@pytest.mark.parametrize("speed", [0, 2, 5, 8, 12, 20, 30])
+def test_no_spike_is_lost_at_any_speed(speed):
+    """Steady movers by so many median changes a box: the planted spikes are found, and nothing else once the chart has settled.
+
+    (From ``far`` changes a box on, the boxes of the mover themselves are far from both neighbours.)"""
+    r = SpikeRules()
+    rng = np.random.default_rng(speed)
+    n = 900
+    x = np.cumsum(np.full((n, 4), float(speed)), axis=0) + rng.normal(0, 0.6, (n, 4))
+    planted = np.zeros(n, bool)
+    for at in range(20, n - 20, 11):
+        length, side = int(rng.integers(1, 4)), rng.choice([-1, 1])
+        # Far from the box before and from the one after, wherever the mover has got to by then.
+        x[at : at + length, rng.integers(4)] += side * (r.far + 3 + speed * (length + 1) + rng.uniform(0, 60))
+        planted[at : at + length] = True
+    _, spike = _judge(np.zeros(n, np.int64), np.arange(n), x, np.zeros(n, bool), np.ones(n), np.full(n, 20.0), r)
+    assert not (planted & ~spike).any()
+    assert speed >= r.far or not (spike & ~planted)[20:].any()
+
+
+def test_spike_right_after_a_small_lasting_move(spark):
+    rows = walk(60)
+    for r in rows[30:]:
+        r[6] -= 12
+    for i in (33, 34, 35):
+        rows[i][6] -= 60
+    assert run(spark, rows) == {"spike": [33, 34, 35]}

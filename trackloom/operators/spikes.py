@@ -22,7 +22,7 @@ class SpikeRules:
 
     ``far``: a spike departs by more than so many median changes of its camera. ``longest``: boxes in a spike. ``stuck``: equal
     boxes in a row. ``outside``: share of the frame by which a side may leave it. ``pause_s``: a longer pause starts a track's
-    chart anew. ``level``, ``scale``: weights of a new value in the mean and in the scale. ``limit``: suspected beyond so many
+    chart anew. ``level``, ``scale``, ``trend``: weights of a new value in the mean, in the scale and, while something moves fast, in the slope. ``limit``: suspected beyond so many
     scales, and beyond ``least`` to ``most`` median changes at any scale. ``clip``: share of the limit that a suspected value may
     move the mean by. ``block``: frames a block of a track spans.
     """
@@ -34,6 +34,7 @@ class SpikeRules:
     pause_s: float = 2.0
     level: float = 0.7
     scale: float = 0.1
+    trend: float = 0.2
     limit: float = 4.0
     least: float = 2.0
     most: float = 8.0
@@ -43,8 +44,9 @@ class SpikeRules:
 
 #: Rows of a track that a block sees before its own (to warm the charts) and after them.
 BEFORE, AFTER = 24, 8
-#: Rows of a chart that run in step with others in the numpy fold.
-_STRIDE = 256
+#: Rows of a chart that run in step with others in the numpy fold, and rows ahead of them that warm it up: of what a chart knew before,
+#: a thousandth is left after these.
+_STRIDE, _WARM = 1024, 64
 
 _ROW = "struct<frame:bigint,n:bigint,id:bigint,id2:bigint,x1:double,y1:double,x2:double,y2:double>"
 
@@ -65,44 +67,57 @@ def impossible(frame_w: Column, frame_h: Column, outside: float) -> Column:
 
 
 def _charts(x: np.ndarray, fresh: np.ndarray, unit: np.ndarray, r: SpikeRules) -> np.ndarray:
-    """Suspected values of many series in step. x: steps x series x 4; fresh: where a chart starts anew; unit: by series."""
+    """Suspected values of many series in step. x: steps x series x 4; fresh: where a chart starts anew; unit: by series.
+
+    The chart expects its mean, moved on by its slope. More than ``longest`` suspected values in a row are a lasting move if they
+    lie together (a leap starts their count again, so that a spike after a small move is none), or if they go on steadily: the
+    chart then follows them, and takes on the slope of the steady ones.
+    """
     steps, series, _ = x.shape
     suspected = np.zeros(x.shape, bool)
     if not steps:
         return suspected
     u = unit[:, None]
-    mean, scale, streak = x[0].copy(), np.broadcast_to(u, (series, 4)).copy(), np.zeros((series, 4), np.int32)
+    mean, slope, scale = x[0].copy(), np.zeros((series, 4)), np.broadcast_to(u, (series, 4)).copy()
+    together, outs = np.zeros((series, 4), np.int32), np.zeros((series, 4), np.int32)
+    before, went = x[0], np.zeros((series, 4))
     for t in range(steps):
         now, new = x[t], fresh[t][:, None]
+        mean += slope
         off = now - mean
         bound = np.clip(r.limit * scale, r.least * u, r.most * u)
         out = (np.abs(off) > bound) & ~new
-        streak = np.where(out, streak + 1, 0)
-        moved = streak > r.longest  # a lasting move: the chart follows it
+        goes = np.where(new, 0.0, now - before)
+        leap = np.abs(goes) > bound
+        together = np.where(out, np.where(leap, 1, together + 1), 0)
+        outs = np.where(out, outs + 1, 0)
+        steady = (outs > r.longest) & leap & (np.abs(goes - went) <= bound)
+        moved = (together > r.longest) | steady
         step = np.where(out, np.clip(off, -r.clip * bound, r.clip * bound), r.level * off)
         mean = np.where(new | moved, now, mean + step)
+        slope = np.where(new | moved, np.where(steady, goes, 0.0), slope + np.where(out | (slope == 0), 0.0, r.trend * off))
         scale = np.where(new, u, (1 - r.scale) * scale + r.scale * np.minimum(np.abs(off), bound))
-        streak[moved] = 0
+        together[moved] = 0
+        outs[moved] = 0
+        before, went = now, goes
         suspected[t] = out
     return suspected
 
 
 def _suspects(x: np.ndarray, starts: np.ndarray, unit: np.ndarray, r: SpikeRules) -> np.ndarray:
-    """Runs the charts over consecutive rows: each stretch of _STRIDE rows with BEFORE rows ahead of it to warm up."""
+    """Runs the charts over consecutive rows: each stretch of _STRIDE rows with _WARM rows ahead of it to warm up."""
     n = len(x)
-    stretches = -(-n // _STRIDE)
-    at = np.arange(stretches)[:, None] * _STRIDE + np.arange(-BEFORE, _STRIDE)[None, :]
+    stride = min(_STRIDE, n)
+    stretches = -(-n // stride)
+    at = np.arange(stretches)[:, None] * stride + np.arange(-_WARM, stride)[None, :]
     valid = (at >= 0) & (at < n)
     at = np.clip(at, 0, n - 1)
     fresh = starts[at] | ~valid
     fresh[:, 0] = True
-    # A stretch may hold several sources; each takes the unit of its rows.
-    units = unit[at]
-    got = np.zeros((stretches, BEFORE + _STRIDE, 4), bool)
-    # Values are charted in units of their source's median change.
-    scaled = x[at] / units[:, :, None]
+    # A stretch may hold several sources; values are charted in units of their source's median change.
+    scaled = x[at] / unit[at][:, :, None]
     got = _charts(np.ascontiguousarray(scaled.transpose(1, 0, 2)), np.ascontiguousarray(fresh.T), np.ones(stretches), r).transpose(1, 0, 2)
-    return got[:, BEFORE:].reshape(-1, 4)[:n]
+    return got[:, _WARM:].reshape(-1, 4)[:n]
 
 
 def _judge(block: np.ndarray, frame: np.ndarray, x: np.ndarray, bad: np.ndarray, unit: np.ndarray, pause: np.ndarray, r: SpikeRules) -> tuple[np.ndarray, np.ndarray]:
@@ -178,8 +193,8 @@ def box_faults(tracks: DataFrame, cameras: DataFrame, rules: SpikeRules = SpikeR
     """``id, fault`` of every box that is ``impossible``, ``stuck`` or a ``spike``; a box may have several faults.
 
     Method. Each track is a source. Robust exponentially weighted control charts, one per coordinate, run along it: a value
-    beyond the limit is suspected and clipped before it updates mean and scale; four suspected values in a row are a lasting
-    move, which the chart follows; a pause starts it anew. A run-length counter finds stuck boxes and physical limits the
+    beyond the limit is suspected, and clipped before it updates mean and scale; four suspected values in a row that lie together or
+    go on steadily are a lasting move, which the chart follows; a pause starts it anew. A run-length counter finds stuck boxes and physical limits the
     impossible ones. Suspected runs of at most three boxes are then checked exactly: some coordinate of each of them must lie
     more than ``far`` median changes (of the camera) from the box before the run and from the one after it.
 
@@ -212,7 +227,8 @@ def box_faults(tracks: DataFrame, cameras: DataFrame, rules: SpikeRules = SpikeR
         .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id2"), F.min(F.struct("id", "camera", *_BOX)).alias("one"))
     )
     row = F.struct(F.col("frame_idx").alias("frame"), "n", F.col("one.id").alias("id"), "id2", *[F.col(f"one.{c}").alias(c) for c in _BOX]).cast(_ROW)
-    blocks = by_frame.groupBy("part").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("one.camera").alias("camera"))
+    # Read three times below: for the edges of blocks, for the cameras' medians and for the charts.
+    blocks = durable(by_frame.groupBy("part").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("one.camera").alias("camera")))
 
     edges = blocks.select("part", F.slice(F.col("rows"), F.greatest(F.size("rows") - BEFORE + 1, F.lit(1)), BEFORE).alias("tail"), F.slice("rows", 1, AFTER).alias("head"))
     in_order = Window.partitionBy("part.clip_id", "part.global_id").orderBy("part.block")
@@ -224,15 +240,13 @@ def box_faults(tracks: DataFrame, cameras: DataFrame, rules: SpikeRules = SpikeR
     near = near.select("part", F.slice(F.col("before"), F.greatest(F.size("before") - BEFORE + 1, F.lit(1)), BEFORE).alias("before"), F.slice("after", 1, AFTER).alias("after"))
     spread = blocks.join(near, "part")
 
-    # The usual change of a camera: the median over all successive boxes of all of its tracks.
-    last = F.slice(F.col("before"), F.greatest(F.size("before"), F.lit(1)), 1)
-    line = spread.select("camera", F.concat(last, F.col("rows")).alias("line")).where(F.size("line") > 1)
-    pairs = F.zip_with(
-        F.slice(F.col("line"), 1, F.size("line") - 1),
-        F.slice(F.col("line"), 2, F.size("line") - 1),
-        lambda p, q: F.array(*[F.abs(q[c] - p[c]) for c in _BOX]),
-    )
-    changes = line.select("camera", F.explode(F.flatten(pairs)).alias("change")).where("change IS NOT NULL")
+    # The usual change of a camera: the median over all successive boxes of all of its tracks, within blocks and from one to the next.
+    change = lambda p, q: F.array(*[F.abs(q[c] - p[c]) for c in _BOX])
+    inner = F.zip_with(F.slice(F.col("rows"), 1, F.size("rows") - 1), F.slice(F.col("rows"), 2, F.size("rows") - 1), change)
+    borders = blocks.select("part", "camera", F.element_at("rows", 1).alias("first"), F.element_at("rows", -1).alias("last"))
+    across = borders.select("camera", change(F.lag("last").over(in_order), F.col("first")).alias("changes"))
+    changes = blocks.where(F.size("rows") > 1).select("camera", F.flatten(inner).alias("changes")).unionByName(across)
+    changes = changes.select("camera", F.explode("changes").alias("change")).where("change IS NOT NULL")
     units = changes.groupBy("camera").agg(F.percentile_approx("change", 0.5, 10_000).alias("unit"))
     units = units.join(frames, F.col("camera") == F.col("of_camera")).select(F.col("of_camera").alias("u_camera"), "unit")
     units = F.broadcast(units) if few else units  # no more rows than cameras
