@@ -95,3 +95,27 @@ def test_tracked_orders_rows_itself(spark):
     df = spark.createDataFrame(rows, "row_idx bigint, clip_id string, frame_idx bigint, x1 double, y1 double, x2 double, y2 double, conf double, frame_is_bad boolean")
     got = {r.row_idx: r.local_id for r in tracked(df).collect()}
     assert all(got[r[0]] == r[0] % 2 + 1 for r in rows)
+
+
+def test_identities_are_matched_for_the_most_frames_in_all(spark):
+    """Greedily, p1-a (100) would leave p1-b and p2-a (99 each) without a partner."""
+    from trackloom.operators.evaluate import idf1
+
+    rows, n = [], 0
+    for person, identity, count in ((1, 11, 100), (1, 12, 99), (2, 11, 99)):
+        for _ in range(count):
+            rows.append((n, "c", n, person, identity, 0.0, 0.0, 9.0, 9.0))
+            n += 1
+    all_rows = spark.createDataFrame(rows, "row_idx bigint, clip_id string, frame_idx bigint, person_id bigint, global_id bigint, x1 double, y1 double, x2 double, y2 double")
+    truth = all_rows.withColumnRenamed("row_idx", "ask_id").drop("global_id")
+    got = idf1(truth, all_rows.drop("person_id")).first()
+    assert (got.idtp, got.id_f1) == (198, round(2 * 198 / (2 * n), 6))
+
+
+def test_optimal_match_of_a_group_of_several_parts(spark):
+    rng = random.Random(5)
+    for _ in range(3):
+        edges = {(a, b): round(rng.uniform(0.1, 1), 3) for part in (0, 10, 20) for a in range(part, part + 4) for b in range(part, part + 4) if rng.random() < 0.6}
+        frame = spark.createDataFrame([("c", 1, a, b, s) for (a, b), s in edges.items()], "clip_id string, frame_idx bigint, left bigint, right bigint, score double")
+        best = sum(max(sum(edges.get((part + i, part + p), 0) for i, p in enumerate(perm)) for perm in permutations(range(4))) for part in (0, 10, 20))
+        assert sum(r.score for r in optimal_match(frame, 0.0).collect()) == pytest.approx(best)

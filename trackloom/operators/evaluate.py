@@ -137,14 +137,12 @@ def mot_metrics(truth: DataFrame, rows: DataFrame, least: float = 0.5) -> DataFr
 
 
 def idf1(truth: DataFrame, rows: DataFrame, least: float = 0.5) -> DataFrame:
-    """Identity precision, recall and F1 per clip: truth tracks and ids matched one to one by the frames in which they agree.
-
-    The matching is the greedy one (the optimum differs only where two ids share two persons almost evenly).
-    """
+    """Identity precision, recall and F1 per clip: truth tracks and ids matched one to one so that they agree in most frames in all."""
     edges = match_edges(truth, rows).where(F.col("score") >= least)
     named = edges.join(truth.select(F.col("ask_id").alias("left"), "person_id"), "left").join(rows.select(F.col("row_idx").alias("right"), "global_id"), "right")
     shared = named.groupBy("clip_id", "person_id", "global_id").agg(F.countDistinct("frame_idx").alias("n"))
-    pairs = greedy_match(shared, ["clip_id", "person_id"], ["clip_id", "global_id"], "n").groupBy("clip_id").agg(F.sum("n").alias("idtp"))
+    whole = shared.select("clip_id", F.lit(0).cast("bigint").alias("frame_idx"), F.col("person_id").alias("left"), F.col("global_id").alias("right"), F.col("n").cast("double").alias("score"))
+    pairs = optimal_match(whole, 1).groupBy("clip_id").agg(F.sum("score").cast("bigint").alias("idtp"))
     totals = truth.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n_truth")).join(rows.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n_predicted")), "clip_id", "left").join(pairs, "clip_id", "left").fillna(0)
     return totals.withColumns(
         {

@@ -19,13 +19,15 @@ def greedy_match(edges: DataFrame, left: Sequence[str], right: Sequence[str], sc
     its ends, dropping what they touch, and repeating. So rounds are joins without any global order; the number of rounds is
     the longest chain of ever better neighbours. Each round is checkpointed.
     """
-    order = [F.desc(score), *left, *right]
+    keys = list(dict.fromkeys([*left, *right]))
+    others = [c for c in edges.columns if c not in keys and c != score]
+    edge = F.struct((-F.col(score)).alias("__off"), *left, *[c for c in right if c not in left], score, *others)
     rest, found = durable(edges.where(F.col(score).isNotNull())), None
     while True:
-        best = rest.withColumns(
-            {"__l": F.row_number().over(Window.partitionBy(*left).orderBy(*order)), "__r": F.row_number().over(Window.partitionBy(*right).orderBy(*order))}
-        )
-        taken = durable(best.where("__l = 1 AND __r = 1").drop("__l", "__r"))
+        # The best edge of a node is an aggregate, so a hot node is combined before anything shuffles.
+        by_left = rest.groupBy(*[F.col(c).alias(f"__{c}") for c in left]).agg(F.min(edge).alias("e")).select(*[F.col(f"e.{c}").alias(c) for c in edges.columns])
+        by_right = rest.groupBy(*[F.col(c).alias(f"__{c}") for c in right]).agg(F.min(edge).alias("e")).select(*[F.col(f"e.{c}").alias(c) for c in keys])
+        taken = durable(by_left.join(by_right, keys, "left_semi"))
         if taken.isEmpty():
             return found if found is not None else taken
         found = taken if found is None else found.unionByName(taken)
@@ -77,15 +79,30 @@ class _Frame:
         return ()
 
     def end(self):
-        lefts = sorted({e[0] for e in self.edges})
-        rights = sorted({e[1] for e in self.edges})
-        value = np.zeros((len(lefts), len(rights)))
-        li, ri = {x: i for i, x in enumerate(lefts)}, {x: i for i, x in enumerate(rights)}
-        for a, b, s in self.edges:
-            value[li[a], ri[b]] = s
-        for i, j in best_assignment(value):
-            if value[i, j] > 0:
-                yield (*self.key, lefts[i], rights[j], value[i, j])
+        # Parts that share no row are solved apart, so a matrix is never larger than its part.
+        root: dict[tuple[bool, int], tuple[bool, int]] = {}
+
+        def find(x):
+            root.setdefault(x, x)
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b, _ in self.edges:
+            root[find((True, b))] = find((False, a))
+        parts: dict[tuple[bool, int], list[tuple[int, int, float]]] = {}
+        for edge in self.edges:
+            parts.setdefault(find((False, edge[0])), []).append(edge)
+        for edges in parts.values():
+            lefts, rights = sorted({e[0] for e in edges}), sorted({e[1] for e in edges})
+            value = np.zeros((len(lefts), len(rights)))
+            li, ri = {x: i for i, x in enumerate(lefts)}, {x: i for i, x in enumerate(rights)}
+            for a, b, s in edges:
+                value[li[a], ri[b]] = s
+            for i, j in best_assignment(value):
+                if value[i, j] > 0:
+                    yield (*self.key, lefts[i], rights[j], value[i, j])
 
 
 def optimal_match(edges: DataFrame, least: float) -> DataFrame:

@@ -20,7 +20,7 @@ def _fr(spark, d):
 
 def _judged(fr):
     moved = {"x1": F.col("x1") + 5, "x2": F.col("x2") + 5, "y1": F.col("y1") + 7, "y2": F.col("y2") + 7}
-    return fr.where("zone_key = 'entrance_zone' AND global_id > 0").withColumns(moved).select(F.col("row_idx").alias("ask_id"), "clip_id", "frame_idx", F.col("global_id").alias("person_id"), "x1", "y1", "x2", "y2")
+    return fr.where("global_id > 0").withColumns(moved).select(F.col("row_idx").alias("ask_id"), "clip_id", "frame_idx", F.col("global_id").alias("person_id"), "x1", "y1", "x2", "y2")
 
 
 def _truth(fr):
@@ -150,7 +150,7 @@ QUERIES = {f.__name__: f for f in (
 
 _IOU = """(greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0))
   / (greatest(a.x2 - a.x1, 0) * greatest(a.y2 - a.y1, 0) + greatest(b.x2 - b.x1, 0) * greatest(b.y2 - b.y1, 0) - greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) + 1e-6)"""
-_JUDGED = f"""jd AS (SELECT row_idx AS ask_id, clip_id, frame_idx, global_id AS person_id, x1 + 5 AS x1, y1 + 7 AS y1, x2 + 5 AS x2, y2 + 7 AS y2 FROM fr WHERE zone_key = 'entrance_zone' AND global_id > 0),
+_JUDGED = f"""jd AS (SELECT row_idx AS ask_id, clip_id, frame_idx, global_id AS person_id, x1 + 5 AS x1, y1 + 7 AS y1, x2 + 5 AS x2, y2 + 7 AS y2 FROM fr WHERE global_id > 0),
 ed AS (SELECT ask_id, b.row_idx, b.global_id, {_IOU} AS v FROM jd a JOIN fr b ON a.clip_id = b.clip_id AND a.frame_idx = b.frame_idx WHERE b.global_id > 0),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ask_id ORDER BY v DESC, row_idx) AS r FROM ed WHERE v >= 0.34) WHERE r = 1),
 jm AS (SELECT jd.ask_id, jd.clip_id, jd.person_id, bm.global_id FROM jd LEFT JOIN bm ON bm.ask_id = jd.ask_id),
@@ -199,7 +199,7 @@ def _versions() -> str:
     """CTEs: un (fr after one box per identity and frame), and for s in 0 (fr), 1 (un): best matches, purity and duplicates."""
     score = f"0.58::DOUBLE * ({_BW} * {_BH}) + 0.20::DOUBLE * coalesce(n_rows, 0) + 0.14::DOUBLE * coalesce(span, 1) + 0.08::DOUBLE * {_FITS}"
     parts = [
-        "jd AS (SELECT row_idx AS ask_id, clip_id, frame_idx, global_id AS person_id, x1 + 5 AS x1, y1 + 7 AS y1, x2 + 5 AS x2, y2 + 7 AS y2 FROM fr WHERE zone_key = 'entrance_zone' AND global_id > 0)",
+        "jd AS (SELECT row_idx AS ask_id, clip_id, frame_idx, global_id AS person_id, x1 + 5 AS x1, y1 + 7 AS y1, x2 + 5 AS x2, y2 + 7 AS y2 FROM fr WHERE global_id > 0)",
         "ex AS (SELECT clip_id, global_id, count(*) AS n_rows, max(frame_idx) - min(frame_idx) + 1 AS span FROM fr WHERE global_id > 0 GROUP BY ALL)",
         f"sc AS (SELECT fr.*, {score} AS sc FROM fr LEFT JOIN ex ON ex.clip_id = fr.clip_id AND ex.global_id = fr.global_id)",
         "un AS (SELECT * REPLACE (CASE WHEN global_id > 0 AND row_number() OVER (PARTITION BY clip_id, frame_idx, global_id ORDER BY sc DESC, row_idx) > 1 THEN 0 ELSE global_id END AS global_id) FROM sc)",

@@ -157,10 +157,11 @@ def drift_split(spark, d):
 
 
 def sim_merge(spark, d):
-    e = Tables(spark, d).embeddings
+    # A fragment is a label's vectors of one stretch of 250; fragments of one stretch overlap in time and stay apart.
+    e = Tables(spark, d).embeddings.withColumn("label", F.col("label") * 1000 + F.floor(F.col("vec_id") / 250))
     sims = embeddings.centroid_similarity(e)
     nodes = e.groupBy("label").agg(F.min("vec_id").alias("start_frame"), F.max("vec_id").alias("end_frame")).select(F.lit("all").alias("clip_id"), F.col("label").cast("bigint").alias("node"), "start_frame", "end_frame")
-    return matching.constrained_union(nodes, sims.where("similarity >= 0.1").select(F.lit("all").alias("clip_id"), F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), F.col("similarity").alias("score")), 1 << 40)
+    return matching.constrained_union(nodes, sims.where("similarity >= 0.3").select(F.lit("all").alias("clip_id"), F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), F.col("similarity").alias("score")), 3)
 
 
 def trust_decay(spark, d):
@@ -258,14 +259,15 @@ SQL = {
         SELECT t.clip_id, CASE WHEN x.clip_id IS NULL THEN 'missing' WHEN source_gid = assigned_final_gid THEN 'same' WHEN source_gid > 0 AND coalesce(assigned_final_gid, 0) <= 0 THEN 'zeroed' ELSE 'changed' END AS kind, count(*) AS n FROM tracklets t LEFT JOIN x ON x.clip_id = t.clip_id AND x.tracklet_id = t.tracklet_id GROUP BY ALL""",
     "topk_matches": f"WITH {_VEC}, p AS (SELECT q.vec_id AS query_id, u.vec_id, round(list_dot_product(q.v, u.v), 6) AS similarity FROM u q JOIN u ON q.vec_id <> u.vec_id WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM p) SELECT * FROM r WHERE rank <= 5",
     "centroids": f"WITH {_CENT}, n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), z AS (SELECT label, unnest(c) AS value, generate_subscripts(c, 1) - 1 AS dim FROM cn) SELECT z.label, n, CAST(dim AS BIGINT) AS dim, round(value, 6) AS value FROM z JOIN n ON n.label = z.label",
-    "topk_set_similarity": f"""WITH {_VEC}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM u), s AS (SELECT * FROM k WHERE r <= 24), p AS (SELECT a.label AS a, b.label AS b, a.vec_id AS va, list_dot_product(a.v, b.v) AS d FROM s a JOIN s b ON a.label < b.label),
+    "topk_set_similarity": f"""WITH {_VEC}, p AS (SELECT a.label AS a, b.label AS b, a.vec_id AS va, list_dot_product(a.v, b.v) AS d FROM u a JOIN u b ON a.label < b.label),
         t AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY d DESC) AS r FROM p), m AS (SELECT a, b, va, max(d) AS d FROM p GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY d DESC) AS r FROM m),
         x AS (SELECT a, b, round(avg(d), 6) AS topk FROM t WHERE r <= 6 GROUP BY ALL), y AS (SELECT a, b, round(avg(d), 6) AS best_topk FROM o WHERE r <= 6 GROUP BY ALL) SELECT x.a, x.b, topk, best_topk FROM x JOIN y ON x.a = y.a AND x.b = y.b""",
     "anchor_votes": f"""WITH {_CENT}, s AS (SELECT vec_id, u.label, cn.label AS ref, list_dot_product(v, c) AS d FROM u CROSS JOIN cn), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d DESC, ref) AS r FROM s), v AS (SELECT label, ref, count(*) AS votes FROM r WHERE r = 1 GROUP BY ALL)
         SELECT label, ref, votes, round(votes / sum(votes) OVER (PARTITION BY label), 6) AS share FROM v""",
-    "color_sim": f"""WITH {_VEC}, q AS (SELECT vec_id, label, [v[1:16], v[17:32], v[33:48], v[49:64]] AS p FROM u WHERE vec_id >= 0), h AS (SELECT a.vec_id AS a, b.vec_id AS b, a.p AS pa, b.p AS pb FROM q a JOIN q b ON b.vec_id = a.vec_id + 1),
-        c AS (SELECT a, b, list_transform([1, 2, 3, 4], lambda i: list_dot_product(pa[i], pb[i]) / (sqrt(list_dot_product(pa[i], pa[i])) * sqrt(list_dot_product(pb[i], pb[i])))) AS s FROM h)
-        SELECT a, b, round(0.4::DOUBLE * s[1] + 0.3::DOUBLE * s[2] + 0.2::DOUBLE * s[3] + 0.1::DOUBLE * s[4] - 0.2::DOUBLE * greatest(list_max(s) - list_min(s) - 0.5::DOUBLE, 0), 6) AS similarity FROM c""",
+    "color_sim": f"""WITH {_CENT}, q AS (SELECT label, list_transform([0, 1, 2, 3], lambda i: c[CAST(floor(i * len(c) / 4) AS BIGINT) + 1 : CAST(floor((i + 1) * len(c) / 4) AS BIGINT)]) AS p FROM cn),
+        h AS (SELECT a.label AS a, b.label AS b, list_transform([1, 2, 3, 4], lambda i: list_dot_product(a.p[i], b.p[i]) / nullif(sqrt(list_dot_product(a.p[i], a.p[i])) * sqrt(list_dot_product(b.p[i], b.p[i])), 0)) AS s FROM q a JOIN q b ON a.label < b.label),
+        z AS (SELECT a, b, unnest(s) AS s, unnest([0.4::DOUBLE, 0.3::DOUBLE, 0.2::DOUBLE, 0.1::DOUBLE]) AS w FROM h)
+        SELECT a, b, round(sum(w * s) / sum(w) - 0.2::DOUBLE * greatest(max(s) - min(s) - 0.5::DOUBLE, 0), 6) AS similarity, count(*) AS n_parts FROM z WHERE s IS NOT NULL GROUP BY a, b""",
     "prototype_clean": f"""WITH {_CENT}, d AS (SELECT vec_id, u.label, list_dot_product(v, c) AS coherence FROM u JOIN cn ON cn.label = u.label), m AS (SELECT label, median(coherence) AS med FROM d GROUP BY label)
         SELECT d.label, count(*) AS n, count(*) FILTER (coherence >= med - 0.05::DOUBLE) AS n_kept, round(avg(coherence) FILTER (coherence >= med - 0.05::DOUBLE), 6) AS coherence FROM d JOIN m ON m.label = d.label GROUP BY d.label""",
     "anchor_evidence": None,
@@ -298,9 +300,13 @@ SQL["cross_cam_assign"] = f"SELECT cam1_gid, cam2_gid, score FROM (SELECT *, row
 _NODES = "nd AS (SELECT clip_id, tracklet_id AS node, start_frame, end_frame FROM tracklets)"
 SQL["stitch"] = "WITH RECURSIVE" + SQL["stitch_candidates"].strip().removeprefix("WITH").rsplit("SELECT clip_id, a, b, gap", 1)[0].rstrip() + f""",
 se AS (SELECT clip_id, a, b, round(score, 9) AS score FROM t WHERE sh >= 0.58 AND (gap < 180 OR NOT ins) AND score >= 0.66), {_NODES}, {union_sql('nd', 'se', 3, 'cu')} SELECT clip_id, node, root FROM cu_r"""
-SQL["group_merge"] = _REENTRY.replace("WITH cp", "WITH RECURSIVE cp", 1).rstrip() + f""", se AS (SELECT clip_id, p_tracklet_id AS a, c_tracklet_id AS b, round(final, 9) AS score FROM rr WHERE final >= 0.78), {_NODES}, {union_sql('nd', 'se', 0, 'cu')} SELECT clip_id, node, root FROM cu_r"""
-SQL["sim_merge"] = f"""WITH RECURSIVE {_CENT}, nd AS (SELECT 'all' AS clip_id, label AS node, min(vec_id) AS start_frame, max(vec_id) AS end_frame FROM embeddings GROUP BY label),
-e0 AS (SELECT 'all' AS clip_id, a.label AS a, b.label AS b, round(list_dot_product(a.c, b.c), 6) AS score FROM cn a JOIN cn b ON a.label < b.label), e1 AS (SELECT * FROM e0 WHERE score >= 0.1), {union_sql('nd', 'e1', 1 << 40, 'cu')} SELECT clip_id, node, root FROM cu_r"""
+_MERGE = "(0.10::DOUBLE * (0.6::DOUBLE * hr + 0.4::DOUBLE * ar) + 0.06::DOUBLE * exp(-gap / 1600) + 0.04::DOUBLE * side + 0.02::DOUBLE * turn) / 0.22::DOUBLE * (0.82::DOUBLE + 0.18::DOUBLE * q)"
+SQL["group_merge"] = _REENTRY.split("),\npf AS", 1)[0].replace("WITH cp", "WITH RECURSIVE cp", 1).replace("BETWEEN 4 AND 1600", "BETWEEN 0 AND 2200 AND p.tracklet_id <> c.tracklet_id") + f"""),
+se AS (SELECT clip_id, p_tracklet_id AS a, c_tracklet_id AS b, round(score, 9) AS score FROM (SELECT *, {_MERGE} AS score FROM cp) WHERE score >= 0.78), {_NODES}, {union_sql('nd', 'se', 0, 'cu')} SELECT clip_id, node, root FROM cu_r"""
+# A fragment is a label's vectors of one stretch of 250; fragments of one stretch overlap in time and stay apart.
+_FRAGMENTS = _CENT.replace("SELECT vec_id, label, CAST(embedding", "SELECT vec_id, label * 1000 + vec_id // 250 AS label, CAST(embedding", 1)
+SQL["sim_merge"] = f"""WITH RECURSIVE {_FRAGMENTS}, nd AS (SELECT 'all' AS clip_id, label AS node, min(vec_id) AS start_frame, max(vec_id) AS end_frame FROM u GROUP BY label),
+e0 AS (SELECT 'all' AS clip_id, a.label AS a, b.label AS b, round(list_dot_product(a.c, b.c), 6) AS score FROM cn a JOIN cn b ON a.label < b.label), e1 AS (SELECT * FROM e0 WHERE score >= 0.3), {union_sql('nd', 'e1', 3, 'cu')} SELECT clip_id, node, root FROM cu_r"""
 _GID = lambda x: f"list_filter(ids, lambda z: z.t = {x})[1].g"
 SQL["reentry_decide"] = _REENTRY.replace("WITH cp", "WITH RECURSIVE cp", 1).rstrip() + f""",
 op AS (SELECT clip_id, c_tracklet_id, max(final) FILTER (rank = 1) AS f1, max(p_tracklet_id) FILTER (rank = 1) AS p1, max(final) FILTER (rank = 2) AS f2, max(p_tracklet_id) FILTER (rank = 2) AS p2 FROM rr WHERE rank <= 2 GROUP BY ALL),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.operators import hygiene, linking, pairs, tracker, visits, zones
+from trackloom.plans import visit_queries
 from trackloom.plans.base import framed_view, tracks_view, with_cte, zones_view
 from trackloom.plans.link_queries import _REENTRY
 from trackloom.plans.track_queries import _PAIRS, _ZONED
@@ -40,7 +41,7 @@ def bad_frame_hold(spark, d):
 def recompute(spark, d):
     t = Tables(spark, d)
     rows = zones.assign_zone(framed_view(t), zones_view(t)).where("global_id > 0").withColumn("zone_key", F.col("found_zone"))
-    return visits.held_visits(rows, 0)
+    return visits.held_visits(rows)
 
 
 def clean_rows(spark, d):
@@ -75,11 +76,9 @@ QUERIES = {
 }
 
 SQL = {
-    "scan_tracks": "SELECT id, frame_idx, ts AS ts_sec, global_id, x1, y1, x2, y2 FROM tracks WHERE frame_idx IS NOT NULL AND ts IS NOT NULL AND global_id IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL",
-    "recompute": with_cte(_ZONED + """, o AS (SELECT fr.clip_id, fr.global_id, fr.ms, fr.row_idx, fz.found_zone AS z FROM fr JOIN fz ON fz.row_idx = fr.row_idx WHERE ms IS NOT NULL AND global_id > 0),
-        a AS (SELECT *, CASE WHEN z IS NOT DISTINCT FROM lag(z) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS cut FROM o WINDOW w AS (PARTITION BY clip_id, global_id ORDER BY ms, row_idx)),
-        b AS (SELECT *, sum(cut) OVER (PARTITION BY clip_id, global_id ORDER BY ms, row_idx ROWS UNBOUNDED PRECEDING) AS run FROM a), r AS (SELECT clip_id, global_id, run, z, min(ms) AS f, max(ms) AS l FROM b GROUP BY ALL),
-        s AS (SELECT *, coalesce(lead(f) OVER (PARTITION BY clip_id, global_id ORDER BY run), l) AS e FROM r) SELECT clip_id, global_id, z AS zone_key, f AS enter_ms, e AS exit_ms FROM s WHERE z IS NOT NULL AND e > f"""),
+    "scan_tracks": "SELECT id, frame_idx, ts AS ts_sec, global_id, x1, y1, x2, y2 FROM tracks WHERE frame_idx IS NOT NULL AND global_id IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL",
+    # The visits with hysteresis, of boxes with the zones found anew.
+    "recompute": visit_queries.SQL["visits_hysteresis"].replace("a AS (SELECT *, CASE WHEN zone_key", _ZONED.rstrip() + ", zt AS (SELECT fr.clip_id, fr.global_id, fr.ms, fr.row_idx, fz.found_zone AS zone_key FROM fr JOIN fz ON fz.row_idx = fr.row_idx), a AS (SELECT *, CASE WHEN zone_key", 1).replace("FROM tk WHERE ms IS NOT NULL AND global_id > 0 WINDOW", "FROM zt WHERE ms IS NOT NULL AND global_id > 0 WINDOW", 1),
     "clean_rows": with_cte(_PAIRS + ", r AS (SELECT fr.row_idx, clip_id, global_id, row_number() OVER (PARTITION BY clip_id, global_id ORDER BY overlap, greatest(x2 - x1, 0) * greatest(y2 - y1, 0) DESC, fr.row_idx) AS r FROM fr JOIN ov ON ov.row_idx = fr.row_idx WHERE global_id > 0) SELECT row_idx, clip_id, global_id FROM r WHERE r <= 5"),
     "consecutive_runs": with_cte("""a AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER q <= 1 THEN 0 ELSE 1 END AS cut FROM fr WHERE global_id > 0 WINDOW q AS (PARTITION BY clip_id, global_id ORDER BY frame_idx, row_idx)),
         b AS (SELECT *, sum(cut) OVER (PARTITION BY clip_id, global_id ORDER BY frame_idx, row_idx ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT clip_id, global_id, min(frame_idx) AS start_frame, max(frame_idx) AS end_frame, count(*) AS n_rows FROM b GROUP BY clip_id, global_id, s HAVING count(*) > 1"""),

@@ -217,7 +217,7 @@ SQL = {
         CASE WHEN sum(CASE WHEN zone_key LIKE '%entrance%' THEN visits ELSE 0 END) > 0 THEN round(least(1, sum(CASE WHEN regexp_matches(zone_key, 'walkway|hot|promo|browse|cashier|checkout') THEN qualified_visits ELSE 0 END) / sum(CASE WHEN zone_key LIKE '%entrance%' THEN visits ELSE 0 END)), 6) ELSE 0 END AS progression_rate,
         round(coalesce(sum(dwell_ms) / nullif(sum(visits), 0), 0), 4) AS avg_dwell_ms, count(*) FILTER (visits > 0) AS active_zones, min_by(zone_key, struct_pack(d := -dwell_ms, k := zone_key)) AS top_zone FROM zs GROUP BY camera"""),
     "person_summary": with_cte("e AS (SELECT camera, clip_id, global_id, count(*) AS visits, CAST(coalesce(sum(dwell_ms), 0) AS BIGINT) AS dwell_ms FROM vv GROUP BY ALL), f AS (SELECT camera, clip_id, global_id, count(*) AS n FROM tk GROUP BY ALL) SELECT e.*, coalesce(n, 0) AS n_frames FROM e LEFT JOIN f ON f.camera = e.camera AND f.clip_id = e.clip_id AND f.global_id = e.global_id"),
-    "person_fallback": with_cte("""h AS (SELECT DISTINCT camera, clip_id FROM vv WHERE clip_id < 's05')
+    "person_fallback": with_cte("""h AS (SELECT DISTINCT camera, clip_id FROM vv)
         SELECT camera, clip_id, global_id, count(*) AS n_frames, min(ms) AS first_ms, max(ms) AS last_ms, floor((greatest(0, max(ms) - min(ms)) + 5) / 10) / 100 AS duration_s FROM tk
         WHERE global_id > 0 AND NOT EXISTS (SELECT 1 FROM h WHERE h.camera = tk.camera AND h.clip_id = tk.clip_id) GROUP BY camera, clip_id, global_id"""),
     "export_person_summary": with_cte("SELECT camera, clip_id, global_id, count(*) AS visits, count(DISTINCT zone_key) AS n_zones, floor((coalesce(sum(dwell_ms), 0) + 5) / 10) / 100 AS total_dwell_s FROM vv GROUP BY ALL"),
@@ -239,7 +239,7 @@ SQL = {
     "fetch_events": with_cte("SELECT id, clip_id, global_id, enter_ms, exit_ms FROM vv WHERE camera = 'cam_02' AND enter_ms >= 60000 AND exit_ms <= 120000"),
     "fetch_tracks": with_cte("SELECT row_idx, frame_idx, global_id, ms, zone_key FROM tk WHERE camera = 'cam_01' AND clip_id = 'full_shop04' AND ms BETWEEN 60000 AND 120000"),
     "all_cameras": with_cte("SELECT camera FROM tk UNION SELECT camera FROM vv"),
-    "union_cameras": with_cte("SELECT camera AS source, id, global_id FROM vv WHERE camera IN ('cam_01', 'cam_02', 'cam_03')"),
+    "union_cameras": with_cte("SELECT camera AS source, id, global_id FROM vv WHERE camera IN (SELECT camera FROM cam)"),
     "meta_groups": with_cte("c AS (SELECT DISTINCT camera, clip_id FROM tk WHERE clip_id IS NOT NULL) SELECT camera, array_to_string(string_split(clip_id, '_')[1:2], '_') AS clip_group, count(*) AS n_clips FROM c GROUP BY ALL"),
     "rollup_visits": with_cte("SELECT camera, clip_id, zone_key, count(*) AS visits, CAST(sum(dwell_ms) AS BIGINT) AS dwell_ms, grouping(camera, clip_id, zone_key) AS level FROM vv GROUP BY ROLLUP (camera, clip_id, zone_key)"),
     "engagement_sales_gap": """WITH s AS (SELECT p_type AS item, sum(l_quantity) AS a, count(*) AS b FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -35,13 +36,19 @@ def local_session(app: str = "trackloom", cpus: int | str = "*", partitions: int
 def durable(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` into the folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The checkpoint is replicated storage shared by all executors, so losing an executor afterwards costs nothing. Only
-    where the session names no folder (tests on one machine) a temporary one is set.
+    The checkpoint is replicated storage shared by all executors, so losing an executor afterwards costs nothing. Where the session
+    names no folder, a temporary one is set on a local master, and removed at exit; on a cluster that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="trackloom-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="trackloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

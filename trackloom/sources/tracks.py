@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_NUMBERS = ("frame_idx", "ts_sec", "global_id", "x1", "y1", "x2", "y2")
+from trackloom.operators.ranking import blocked_rank
+
+#: Columns without which a row is none; a missing time is null.
+_NUMBERS = ("frame_idx", "global_id", "x1", "y1", "x2", "y2")
 #: Names under which optional columns occur, the first wins.
 ALIASES = {"overlap": ("overlap", "overlap_n", "overlap_count"), "quality": ("quality", "q", "det_quality")}
 
@@ -17,17 +20,19 @@ def _number(text: Column) -> Column:
     return F.trim(F.regexp_replace(text.cast("string"), "\\x00", "")).try_cast("double")
 
 
-def parsed(raw: DataFrame) -> DataFrame:
+def parsed(raw: DataFrame, strict: bool = False) -> DataFrame:
     """Rows of text columns as typed rows; rows without a number in a needed column are left out, a blank id is 0.
 
-    Zeros bytes and blanks around numbers are dropped, whole numbers may be written as ``10.0``. Other columns stay; those of
-    ALIASES get one name.
+    Zero bytes and blanks around numbers are dropped, whole numbers may be written as ``10.0``; with ``strict`` frames and ids must
+    be written as integers, and a blank id leaves the row out. A time that is missing or no number is null, the row stays.
+    Other columns stay; those of ALIASES get one name.
     """
     id_text = F.trim(F.regexp_replace(F.coalesce(F.col("global_id").cast("string"), F.lit("")), "\\x00", ""))
+    whole = lambda c: F.when(F.lit(not strict) | F.col(c).cast("string").rlike(r"^[\s\x00]*[+-]?[0-9]+[\s\x00]*$"), F.round(_number(F.col(c)))).cast("bigint")
     typed = raw.withColumns(
         {
-            "frame_idx": F.round(_number(F.col("frame_idx"))).cast("bigint"),
-            "global_id": F.when(id_text == "", 0).otherwise(F.round(_number(F.col("global_id")))).cast("bigint"),
+            "frame_idx": whole("frame_idx"),
+            "global_id": whole("global_id") if strict else F.when(id_text == "", 0).otherwise(whole("global_id")),
             **{c: _number(F.col(c)) for c in ("ts_sec", "x1", "y1", "x2", "y2")},
         }
     )
@@ -43,18 +48,24 @@ def parsed(raw: DataFrame) -> DataFrame:
     return typed.where(needed)
 
 
-def read_tracks_csv(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
+def read_tracks_csv(spark: SparkSession, paths: str | list[str], columns: list[str], strict: bool = False) -> DataFrame:
     """CSV files of tracks as text columns, parsed; ``clip_id`` is the file's name without ``_tracks.csv``.
 
-    ``row_idx`` orders rows as their files do: the file's place in the list of names, then the place in the file. ``columns`` names
-    the columns in the files' order; nothing is inferred.
+    ``row_idx`` is a row's place in its file, from 0, counting the rows that parsing leaves out too. A file may be read in several
+    splits: rows are numbered within their split, and the sizes of the splits before are added, so no task numbers a whole file.
+    ``columns`` names the columns in the files' order; nothing is inferred.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(paths)
-    name = F.col("_metadata.file_name")
-    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
-    named = raw.select("*", F.regexp_replace(name, r"(_tracks)?\.csv$", "").alias("clip_id"), place.alias("__place"))
-    return parsed(named.withColumn("row_idx", F.col("__place.n")).drop("__place"))
+    placed = raw.select(
+        *columns,
+        F.regexp_replace(F.col("_metadata.file_name"), r"(_tracks)?\.csv$", "").alias("clip_id"),
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__split"),
+        F.monotonically_increasing_id().alias("__n"),
+    )
+    ranked = blocked_rank(placed, ["__file"], ["__split", "__n"], F.col("__split"), "__rank")
+    return parsed(ranked.withColumn("row_idx", F.col("__rank") - 1).drop("__file", "__split", "__n", "__rank"), strict)
 
 
 def write_tracks_csv(rows: DataFrame, folder: str) -> None:
@@ -89,6 +100,29 @@ def read_zone_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "camera_id string, zone_id string, zone_name string, zone_type string, polygon string, zone_rank int")
 
 
+def write_zone_file(zones: DataFrame, camera_id: str, path: str) -> list[dict]:
+    """Writes one camera's zones in the form that ``read_zone_file`` reads; returns the zones left out, each with its reason.
+
+    A camera's zones are a configuration file, so the driver writes it. ``zones``: camera_id, zone_id, zone_name, zone_type, polygon
+    (JSON). Left out are zones without an id, with a polygon that is no list of points, and with fewer than three points.
+    """
+    kept, skipped = [], []
+    for row in zones.where(F.col("camera_id") == camera_id).orderBy("zone_id").collect():
+        try:
+            points = json.loads(row.polygon or "[]")
+            points = [[float(x), float(y)] for x, y in points]
+        except (ValueError, TypeError):
+            points = None
+        reason = "no zone_id" if not (row.zone_id or "").strip() else "no polygon" if points is None else "fewer than three points" if len(points) < 3 else None
+        if reason:
+            skipped.append({"zone_id": row.zone_id, "reason": reason})
+        else:
+            kept.append({"zone_id": row.zone_id, "name": row.zone_name, "zone_type": row.zone_type, "polygon": points})
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump({"camera_id": camera_id, "zones": kept}, file, ensure_ascii=False, indent=1)
+    return skipped
+
+
 def write_report(report: DataFrame, folder: str) -> None:
     """A report as JSON lines."""
     report.coalesce(1).write.mode("overwrite").json(folder)
