@@ -169,3 +169,36 @@ def frame_flag(mean_gray: Column, std_gray: Column, white_ratio: Column) -> Colu
         .when((mean_gray >= 205) & (std_gray <= 45), "mean_and_std_gray")
         .when(std_gray <= 8, "std_gray")
     )
+
+
+def clipped(value: Column, low: float, high: float) -> Column:
+    """``value`` within bounds; null stays null."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
+
+
+def prototype_quality(b: tuple[Column, ...], blur: Column, conf: Column, crop: Column, overlaps: Column, hidden: Column, frame_w: Column, frame_h: Column) -> Column:
+    """How good a sample is for a prototype, 0 to 1: sharpness, size, distance from the border, confidence and quality of the crop, less
+    what other boxes (``overlaps``) and obstacles (``hidden``) take. Missing sharpness counts as a half, other missing values as 0.58."""
+    x1, y1, x2, y2 = b
+    w, h = F.greatest(F.lit(1.0), frame_w), F.greatest(F.lit(1.0), frame_h)
+    area = F.greatest(F.lit(1.0), x2 - x1) * F.greatest(F.lit(1.0), y2 - y1) / (w * h)
+    zero = F.lit(0.0)
+    margin = F.least(F.greatest(zero, x1), F.greatest(zero, y1), F.greatest(zero, w - F.least(w, x2)), F.greatest(zero, h - F.least(h, y2)))
+    terms = {
+        0.30: F.coalesce(clipped((blur - 24.0) / 180.0, 0.0, 1.0), F.lit(0.5)),
+        0.23: clipped((area - 0.0022) / 0.016, 0.0, 1.0),
+        0.16: clipped(margin / (0.06 * F.least(w, h) + 1e-6), 0.0, 1.0) + F.coalesce(clipped((conf - 0.24) / 0.56, 0.0, 1.0), F.lit(0.58)),
+        0.15: F.coalesce(clipped(crop, 0.0, 1.0), F.lit(0.58)),
+    }
+    lost = clipped(0.24 * F.greatest(zero, F.coalesce(overlaps, zero)), 0.0, 0.55) + clipped(0.28 * F.greatest(zero, F.coalesce(hidden, zero)), 0.0, 0.45)
+    total = F.lit(0.0)
+    for weight, term in terms.items():
+        total = total + weight * term
+    return clipped(total - lost, 0.0, 1.0)
+
+
+def render_flag(mean_gray: Column, std_gray: Column, white: Column, bright: Column, top_white: Column, bottom_white: Column, detail: Column) -> Column:
+    """Whether a frame is not worth showing: washed out, without contrast, white in one half and not clean in the other, or bright without detail."""
+    washed = (white >= 0.16) | ((mean_gray >= 205) & (std_gray <= 45)) | (mean_gray >= 225) | (std_gray <= 8)
+    band = (F.greatest(top_white, bottom_white) >= 0.55) & (F.least(top_white, bottom_white) >= 0.12)
+    return washed | band | ((bright >= 0.62) & (detail <= 28))

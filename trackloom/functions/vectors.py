@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,10 +18,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, computed once: inside a lambda it would else be computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit_vector(a: Column) -> Column:
     """``a`` at length 1; a zero vector stays."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda v: v.cast("double") / length)).otherwise(a.cast("array<double>"))
+    scaled = lambda x, length: F.when(length > 0, F.transform(x, lambda v: v.cast("double") / length)).otherwise(x.cast("array<double>"))
+    return bound(a, lambda x: bound(norm(x), lambda length: scaled(x, length)))
 
 
 def cosine(a: Column, b: Column, missing: float | None = -1.0) -> Column:
@@ -54,3 +61,9 @@ def trust(age: Column, rate: float = 0.004, long_rate: float = 0.002, long_after
     """Trust in an identity not seen for ``age`` frames: exponential decay, faster after a long time, times ``cap`` and not below ``floor``."""
     late = F.greatest(age - long_after, F.lit(0.0))
     return F.greatest(F.lit(floor), F.lit(cap) * F.exp(-rate * age - long_rate * late))
+
+
+def fused(parts: list[Column], weights: list[float]) -> Column:
+    """Several vectors as one: each at length 1 and times its weight, one after the other, and the whole at length 1 again."""
+    times = lambda weight: lambda v: v * weight
+    return unit_vector(F.concat(*[F.transform(unit_vector(p), times(w)) for p, w in zip(parts, weights)]))

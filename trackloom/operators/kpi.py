@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.functions.keys import slug
+
 # Zone names that mean the same, and the dwell in seconds from which a visit counts as engagement.
 ZONE_ALIASES = {"check_zone": "decision_zone", "counter_zone": "cashier_zone"}
 ENGAGEMENT_SECONDS = {
@@ -110,6 +112,40 @@ def zone_summary(visits: DataFrame, zones: DataFrame) -> DataFrame:
     )
 
 
+def zone_type(zone: Column, given: Column) -> Column:
+    """The type a zone was given, or, where that is missing or ``other``, the one its name (or the name it stands for) tells."""
+    name, own = zone_alias(zone), slug(given, "other")
+    told = (
+        F.when(_has(name, "entrance"), "entrance")
+        .when(_has(name, "walkway", "aisle"), "walkway")
+        .when(_has(name, "hot"), "hot")
+        .when(_has(name, "promo"), "promo")
+        .when(_has(name, "browse"), "browsing")
+        .when(_has(name, "cashier", "checkout", "counter"), "checkout")
+        .otherwise("other")
+    )
+    return F.when(own != "other", own).otherwise(told)
+
+
+def zone_metrics(summary: DataFrame) -> DataFrame:
+    """Figures of zones as shown, whatever of them is given: missing qualified visits are all visits, missing transit visits the rest, a
+    missing rate their share; ``rate`` is in percent, and a given one up to 1 is a share. Rows have camera and zone_key."""
+    visits = F.coalesce("visits", F.lit(0))
+    qualified = F.coalesce("qualified_visits", visits)
+    share = F.coalesce(F.try_divide(100 * qualified, visits), F.lit(0.0))
+    rate = F.when(F.col("qualification_rate").isNull(), share).when(F.col("qualification_rate") <= 1, 100 * F.col("qualification_rate")).otherwise(F.col("qualification_rate"))
+    dwell = F.coalesce("dwell_ms", F.lit(0))
+    return summary.select(
+        "camera",
+        "zone_key",
+        visits.alias("visits"),
+        qualified.alias("qualified"),
+        F.coalesce("transit_visits", F.greatest(F.lit(0), visits - qualified)).cast("bigint").alias("transit"),
+        F.round(rate, 4).alias("rate"),
+        F.round(F.coalesce(F.try_divide(dwell, visits), F.lit(0.0)), 4).alias("mean_dwell_ms"),
+    )
+
+
 def bounce_by_progression(visits: DataFrame, entrance: str = "entrance_zone", onward: str = "walkway_zone") -> DataFrame:
     """Persons seen in the entrance but never onward, per camera."""
     seen = visits.where("zone_key IS NOT NULL AND global_id IS NOT NULL").groupBy("camera", "clip_id", "global_id").agg(
